@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 #: Second hash of the pair: xxhash64 takes the hash of this literal as its seed.
 SECOND_SEED = "canonical"
 #: Rows of the table of repeated digests up to which it is broadcast (24 bytes a row); a shuffle join beyond.
@@ -54,14 +56,20 @@ def classes(df: DataFrame, id_col: str, text_col: str, hashes: DataFrame | None
     n = repeated.count()
     canon = rows.withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon"))).select("id", "canon", "fingerprint")
     members = _joined(canon, repeated, ["fingerprint"], "inner", n)
-    firsts = members.where("id = first_id").groupBy("fingerprint").agg(F.min("canon").alias("first_canon"))
-    compared = members.join(firsts, "fingerprint").select("id", "fingerprint", "first_id", (F.col("canon") == F.col("first_canon")).alias("same"), F.when(F.col("canon") != F.col("first_canon"), F.sha2("canon", 256)).alias("strong"))
-    others = compared.where("not same").groupBy("fingerprint", "strong").agg(F.min("id").alias("other_id"))
-    return (
-        compared.join(others, ["fingerprint", "strong"], "left")
-        .select(F.col("id").alias(id_col), "fingerprint", F.coalesce("other_id", "first_id").alias("class_id"))
-        .distinct()
-    )
+    # both are written, so that the joins deal their sides themselves and can split a large class
+    firsts = materialise(members.where("id = first_id").groupBy("fingerprint").agg(F.min("canon").alias("first_canon")), "class-firsts")
+    same = F.col("canon") == F.col("first_canon")
+    compared = members.join(firsts, "fingerprint").select("id", "fingerprint", "first_id", same.alias("same"), F.when(~same, F.sha2("canon", 256)).alias("strong"))
+    compared = materialise(compared, "class-compared")
+    agree = compared.where("same").select(F.col("id").alias(id_col), "fingerprint", F.col("first_id").alias("class_id"))
+    collide = compared.where("not same")
+    others = collide.groupBy("fingerprint", "strong").agg(F.min("id").alias("class_id"))
+    apart = collide.join(others, ["fingerprint", "strong"]).select(F.col("id").alias(id_col), "fingerprint", "class_id")
+    return agree.unionByName(apart).distinct()
+
+
+#: Ranges at most; they grow past `range_bytes` beyond, and the window then spills.
+MAX_RANGES = 65_536
 
 
 def _range_of(ids: DataFrame, parts: int) -> Column:
@@ -93,7 +101,7 @@ def with_next(df: DataFrame, id_col: str, carry: list[str], order: list[str], ra
     """
     src = df.withColumn("id", F.col(id_col).cast("long"))
     total = src.agg(F.sum(F.octet_length(size_col)).alias("b")).first()["b"] or 0
-    parts = max(1, total // range_bytes)
+    parts = min(MAX_RANGES, max(1, total // range_bytes))
     if parts > 1:
         parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = _range_of(src.select("id"), parts)
