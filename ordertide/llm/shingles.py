@@ -11,6 +11,13 @@ SLICE_BYTES = 4 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word."""
+    return _WORD[data]
+
+
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
@@ -48,7 +55,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def _slice_words(data: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slice_words(data: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word of `data`; places in `forced` begin a new text."""
     inside = _WORD[data]
     first = inside.copy()
@@ -63,13 +70,9 @@ def _slice_words(data: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(parts, starts - starts[0])), starts
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words before each text), texts lying at `at` in `data`.
-
-    Slices of about SLICE_BYTES are worked on at a time; a text longer than that is cut
-    between words.
-    """
-    hashes, starts = [], []
+def slices(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of pieces of about SLICE_BYTES that begin and end with a text; a text longer
+    than that is cut between words, at places that depend on nothing but itself."""
     begin, last = int(at[0]), int(at[-1])
     while begin < last:
         end = min(last, begin + SLICE_BYTES)
@@ -77,18 +80,25 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             j = int(np.searchsorted(at, end, "right")) - 1
             if at[j] > begin:
                 end = int(at[j])
-            else:  # one long text: cut at its next separator
+            else:
                 while end < at[j + 1]:
                     gap = np.flatnonzero(~_WORD[data[end : end + 4096]])
                     if len(gap):
                         end = min(int(at[j + 1]), end + int(gap[0]))
                         break
                     end = min(int(at[j + 1]), end + 4096)
+        yield begin, end
+        begin = end
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words before each text), texts lying at `at` in `data`."""
+    hashes, starts = [], []
+    for begin, end in slices(data, at):
         own = at[np.searchsorted(at, begin) : np.searchsorted(at, end)] - begin
-        h, s = _slice_words(data[begin:end], own)
+        h, s = slice_words(data[begin:end], own)
         hashes.append(h)
         starts.append(s + begin)
-        begin = end
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
