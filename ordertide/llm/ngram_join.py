@@ -38,7 +38,8 @@ RUN_SHINGLES = 4 << 20
 COMMON_MOST, COMMON_LEAST = 1 << 20, 16
 #: Nodes up to which their list is broadcast (16 bytes each); a shuffle join beyond.
 BROADCAST_NODES = 1_000_000
-BITMAP_WORDS = 4
+#: Longs in the bitmaps that go with every list entry, and in those that pairs are sifted by.
+BITMAP_WORDS, WIDE_WORDS = 4, 32
 
 _CENSUS = "kind int, id long, node long, n long, b0 long, b1 long, b2 long, b3 long, shingle long, times long"
 
@@ -52,9 +53,9 @@ def _node(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    """For each of 256 classes of shingles, whether the set has an odd number of them."""
-    odd = np.bincount((tokens & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+def _bitmap(tokens: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    """For each of 64 * words classes of shingles, whether the set has an odd number of them."""
+    odd = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -158,16 +159,18 @@ def _prefixes(words: int, num: int, den: int, common):
 
 
 def _whole_sets(words: int):
-    """(node, shingles) of documents that stand for their node."""
+    """(node, shingles, wide bitmap) of documents that stand for their node."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, tokens = [], []
+            nodes, tokens, wide = [], [], []
             for wanted, t in zip(batch.column(1).to_pylist(), shingles.sets(batch.column(0), words), strict=True):
                 if _node(t) == wanted:
                     nodes.append(wanted)
                     tokens.append(_signed(t))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    wide.append(_bitmap(t, WIDE_WORDS))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, longs), pa.array(wide, longs)], names=["node", "shingles", "wide"])
 
     return apply
 
@@ -186,12 +189,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, nu
     nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(info.select("node", "doc"), "node"), "pair-nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("text", "node")
-    sets = materialise(texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>"), "sets")
-    one = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    union = F.size("a_set") + F.size("b_set") - common
-    return both.where(common * den >= union * num).select("a", "b").distinct()
+    sets = materialise(texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>, wide array<long>"), "sets")
+    of = lambda side, c: sets.select(F.col("node").alias(side), F.size("shingles").alias(f"{side}_n"), F.col(c).alias(f"{side}_{c}"))
+
+    # the wide bitmaps, of a few hundred bytes, leave hardly any pair that isn't a link
+    sifted = pairs.join(of("a", "wide"), "a").join(of("b", "wide"), "b")
+    apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    sifted = materialise(sifted.where(apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b"), "sifted")
+
+    both = sifted.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    return both.where(common * den >= (F.col("a_n") + F.col("b_n") - common) * num).select("a", "b")
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
