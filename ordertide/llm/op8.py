@@ -17,5 +17,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     weighed = materialise(quality.weigh(docs, model).select("doc_id", "weight"), "op8-weights")
-    kept = quality.resample(weighed, model)
-    return kept.select("doc_id", (F.col("weight") / quality.UNIT).alias("log_weight"), (F.col("key") / quality.UNIT).alias("key"))
+    rows = quality.kept(weighed, quality.least_key(weighed, model))
+    return rows.select("doc_id", (F.col("weight") / quality.UNIT).alias("log_weight"), (F.col("key") / quality.UNIT).alias("key"))

@@ -195,17 +195,31 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
     return lo
 
 
-def resample(weighed: DataFrame, model: Model, seed: str = "quality", id_col: str = "doc_id", weight: str = "weight", key: str = "key") -> DataFrame:
-    """The rows of `weighed` (a written table) that the resampling keeps, with their `key`.
-
-    Without labelled texts of both kinds everything is kept. Rows at the last kept key are
-    all kept, so repeated rows stay or go together. Null ids share one Gumbel number.
-    """
-    keyed = weighed.withColumn(key, F.col(weight) + gumbel(seed, id_col))
+def least_key(weighed: DataFrame, model: Model, seed: str = "quality", id_col: str = "doc_id", weight: str = "weight") -> int | None:
+    """The smallest key that the resampling of `weighed` (a written table of ids and weights) keeps;
+    None where it keeps everything, for want of labelled texts of both kinds."""
     known = weighed.join(F.broadcast(model.labelled), F.col(id_col) == F.col("_id")).select(weight, "good").toArrow()
     cut = threshold(known.column(0).to_numpy(), known.column(1).to_numpy() == 1) if known.num_rows else None
     if cut is None:
-        return keyed
+        return None
     k = weighed.where(F.col(weight) >= cut).count()
-    least = kth_largest(keyed, key, k)
-    return keyed.where(F.col(key) >= least) if least is not None else keyed.limit(0)
+    least = kth_largest(weighed.select((F.col(weight) + gumbel(seed, id_col)).alias("key")), "key", k)
+    return np.iinfo(np.int64).max if least is None else least
+
+
+def kept(weighed: DataFrame, least: int | None, seed: str = "quality", id_col: str = "doc_id", weight: str = "weight", key: str = "key") -> DataFrame:
+    """The rows of `weighed` that the resampling keeps, with their `key`.
+
+    Rows at the last kept key are all kept, so repeated rows stay or go together. Null ids
+    share one Gumbel number.
+    """
+    keyed = weighed.withColumn(key, F.col(weight) + gumbel(seed, id_col))
+    return keyed if least is None else keyed.where(F.col(key) >= F.lit(least))
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are kept, with `weight` and `key` in units of 1/UNIT."""
+    model = fit(docs, labels, id_col, text_col)
+    weighed = weigh(docs, model, text_col)
+    table = materialise(weighed.select(id_col, "weight"), "weights")
+    return kept(weighed, least_key(table, model, seed, id_col), seed, id_col)

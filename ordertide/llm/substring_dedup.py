@@ -24,9 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -370,3 +371,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     long = T.LongType()
     schema = T.StructType([*here.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, long) for c in ("n_bytes", "n_removed", "n_spans"))])
     return both.mapInArrow(_cut(cols.index(text_col), cols), schema)
+
+
+def dedup_text(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with `text_col` cut: what is left of a text, without characters of which only some
+    bytes are left. Texts of which nothing is left go; those that were empty stay."""
+    out = dedup(docs, length, id_col, text_col).where("n_removed < n_bytes OR n_bytes = 0")
+    cols = [c if c != text_col else F.coalesce(valid_text(F.col("kept")), F.lit("")).alias(c) for c in docs.columns]
+    return out.select(*cols)
+
+
+def valid_text(kept: Column) -> Column:
+    """The characters of UTF-8 bytes, without pieces of characters."""
+    return F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(_whole_characters(kept))
+
+
+@F.pandas_udf(T.StringType())
+def _whole_characters(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: b if b is None else bytes(b).decode(errors="ignore"))

@@ -79,10 +79,7 @@ def brute(rows, labels, seed="quality"):
 
 def run(spark, rows, labels):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, weight string").repartition(3)
-    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
-    from ordertide.llm.store import materialise
-
-    kept = quality.resample(materialise(quality.weigh(docs, model), "w"), model)
+    kept = quality.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
     return sorted(((r.doc_id, r.weight, r.key) for r in kept.collect()), key=str)
 
 
@@ -116,10 +113,7 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    from ordertide.llm.store import materialise
-
-    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
-    kept = {r.doc_id for r in quality.resample(materialise(quality.weigh(docs, model), "w"), model).collect()}
+    kept = {r.doc_id for r in quality.resample(docs, labels.where("doc_id % 2 = 0")).collect()}
     judged = labels.where("doc_id % 2 = 1").collect()
     wrong = [r.doc_id for r in judged if (r.doc_id in kept) != (r.quality == 1)]
     assert len(wrong) <= 0.01 * len(judged) and {r.quality for r in judged} == {0, 1}
