@@ -1,59 +1,5 @@
-"""Shared tables: where an operator cuts lineage, and how it reads its inputs."""
+"""Tables in the shared folder, by the library's own helpers."""
 
-from __future__ import annotations
+from ordertide.tables import materialise, new_path, remove, shared_dir, table, write
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session has none (local tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ordertide-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table or folder of the shared store; missing ones are fine."""
-    with contextlib.suppress(Exception):  # at interpreter exit the gateway may be gone already
-        place, fs = _hadoop_path(spark, path)
-        fs.delete(place, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/ordertide/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def write(df: DataFrame, name: str) -> str:
-    """Write `df` as Parquet in the shared folder; the path, to be read any number of times."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a written table: lineage ends here and lost executors cost no recomputation."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialise", "new_path", "remove", "shared_dir", "table", "write"]
