@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 
 LEAF_CHARS = 512
 FIRST_WINDOW = 16
+#: Rows handed on at a time.
+BATCH_ROWS = 1000
 
 _SEAM = re.compile(r"[^\W_](?=[ \t\n\r!-/:-@\[-`{-~。，、；：！？])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
@@ -110,6 +112,12 @@ def codec(ranks_path: str, pattern: str, leaf_chars: int) -> Codec:
     return Codec(ranks_path, pattern, leaf_chars)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow_kind: pa.DataType, of) -> DataFrame:
     """`df` plus a column made from `source` in Arrow batches; a column of that name is replaced."""
     kept = [c for c in df.columns if c != name]
@@ -117,7 +125,7 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow_
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = of()
-        for batch in batches:
+        for batch in _small(batches):
             values = batch.column(batch.schema.get_field_index(source))
             made = pa.array((make(v.as_py()) for v in values), arrow_kind)
             fields = [batch.schema.field(c) for c in kept]

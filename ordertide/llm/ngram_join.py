@@ -33,7 +33,7 @@ LEVELS = 4
 #: Cost of verifying a pair, in units of reading an entry of a shingle's list.
 VERIFY_COST = 30
 #: Shingles are counted exactly in runs of this many; those seen twice in a run are summed over all runs.
-RUN_SHINGLES = 4 << 20
+RUN_SHINGLES = 1 << 20
 #: Common shingles that every task knows, at most (16 bytes each), and their least count.
 COMMON_MOST, COMMON_LEAST = 1 << 20, 16
 #: Nodes up to which their list is broadcast (16 bytes each); a shuffle join beyond.
@@ -75,7 +75,7 @@ def _census(words: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, held, seen = [], 0, set()
-        for batch in batches:
+        for batch in shingles.small(batches, 1):
             ids = batch.column(0)
             nodes, sizes, maps = [], [], []
             for tokens in shingles.sets(batch.column(1), words):
@@ -129,7 +129,7 @@ def _prefixes(words: int, num: int, den: int, common):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = common.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in shingles.small(batches, 0):
             tokens_out, nodes_out, levels_out = [], [], []
             for tokens in shingles.sets(batch.column(0), words):
                 size = len(tokens)
@@ -162,7 +162,7 @@ def _whole_sets(words: int):
     """(node, shingles, wide bitmap) of documents that stand for their node."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shingles.small(batches, 0):
             nodes, tokens, wide = [], [], []
             for wanted, t in zip(batch.column(1).to_pylist(), shingles.sets(batch.column(0), words), strict=True):
                 if _node(t) == wanted:

@@ -87,7 +87,7 @@ def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each bucket over all texts (kind 0) and over good ones (kind 1), one run per task."""
     counts = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
+    for batch in shingles.small(batches, 0):
         data, at = shingles.text_buffers(batch.column(0))
         good = np.flatnonzero(batch.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 1)
         for buckets, texts, froms, tos in grams(data, at):
@@ -141,7 +141,7 @@ def weigh(docs: DataFrame, model: Model, text_col: str = "text", name: str = "we
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = table.value
-        for batch in batches:
+        for batch in shingles.small(batches, where):
             data, at = shingles.text_buffers(batch.column(where))
             sums, sizes = np.zeros((2, len(at) - 1), np.int64)
             for buckets, texts, froms, tos in grams(data, at):

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+#: Bytes of text in one numpy step, and in one batch handed to the operators.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -70,6 +71,17 @@ def slice_words(data: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(parts, starts - starts[0])), starts
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about BATCH_BYTES of the text in `column`, or of one longer text."""
+    for batch in batches:
+        _, at = text_buffers(batch.column(column))
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_BYTES, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def slices(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
     """(begin, end) of pieces of about SLICE_BYTES that begin and end with a text; a text longer
     than that is cut between words, at places that depend on nothing but itself."""

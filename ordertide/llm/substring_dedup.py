@@ -38,9 +38,11 @@ from .suffixes import first_equal
 LENGTH = 100
 GRAM = 24
 #: Bytes of text worked on at a time, and of segments in one suffix array.
-CHUNK_BYTES, SHARD_BYTES = 2 << 20, 1 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
 #: Bits of the bitmap of repeated anchors; a full one would only let more segments move.
 BITMAP_BITS = 1 << 27
+#: Segments that a task remembers, to send equal ones once; beyond, it starts anew and sends some again.
+KNOWN_SEGMENTS = 250_000
 #: Intervals up to which their table is broadcast to the texts; a shuffle join beyond.
 BROADCAST_INTERVALS = 1_000_000
 
@@ -105,7 +107,7 @@ def _census(length: int):
     """Hashes of anchors; those seen again in a piece count as two."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shingles.small(batches, 0):
             data, at = shingles.text_buffers(batch.column(0))
             for i, j, begin, end in chunks(at, length):
                 _, _, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
@@ -149,11 +151,14 @@ def _segment_rows(length: int, bitmap):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         known: dict[bytes, tuple] = {}  # digest of a segment: its earliest place in this task
-        for batch in batches:
+        for batch in shingles.small(batches, 1):
             ids = batch.column(0).to_pylist()
             data, at = shingles.text_buffers(batch.column(1))
+            data, at = data[at[0] : at[-1]], at - at[0]
             whole = data.tobytes()
             for i, j, begin, end in chunks(at, length):
+                if len(known) > KNOWN_SEGMENTS:
+                    known.clear()
                 starts, windows, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
                 one, two = _bits_of(hashes)
                 often = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
@@ -334,7 +339,7 @@ def _cut(text_at: int, cols: list[str]):
     """Texts without their spans, and what was removed."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shingles.small(batches, text_at):
             spans = batch.column(batch.num_columns - 1).to_pylist()
             kept, removed, n, total = [], [], [], []
             for text, by_mark in zip(batch.column(text_at), spans, strict=True):
