@@ -58,4 +58,5 @@ def ordered_hash(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([f"{h:016x}"])], names=["total", "hash"])
 
     ordered = events.orderBy(*merge_keys(within=within)).select(*(w.alias(f"w{i}") for i, w in enumerate(words())))
-    return ordered.coalesce(1).mapInArrow(fold, "total bigint, hash string")
+    folded = ordered.coalesce(1).mapInArrow(fold, "total bigint, hash string")
+    return folded.agg(F.coalesce(F.max("total"), F.lit(0).cast("bigint")).alias("total"), F.coalesce(F.max("hash"), F.lit(f"{S.HASH_START:016x}")).alias("hash"))
