@@ -33,6 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea noembed noframes xmp title".split())
 HIDDEN = frozenset("head button select option object svg canvas audio video map datalist math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TELLING = frozenset("nav aside footer header form article main section".split())
 #: Which open elements a start tag ends, and what stops the search for them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -55,15 +56,21 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "features", "kind", "links", "names", "parent", "parts", "size", "tag")
+    __slots__ = ("around", "children", "features", "kind", "links", "names", "near", "parent", "parts", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple[str, ...] = ()):
         self.tag, self.parent, self.names = tag, parent, names
         self.children: list[Node] = []
         self.parts: list[str] | None = None
         self.size = self.links = 0
+        # what the nearest telling element around says, and what all of them say
+        self.near: tuple[str, ...] = ()
+        self.around: frozenset[str] = frozenset()
         if parent is not None:
             parent.children.append(self)
+            told = parent.names + ((parent.tag,) if parent.tag in TELLING else ())
+            self.near = told or parent.near
+            self.around = parent.around.union(told) if told and parent.tag not in ("html", "body") else parent.around
 
 
 def _named(attributes: str) -> tuple[str, ...]:
@@ -191,15 +198,17 @@ def flat(root: Node) -> list[Node]:
 def _features(node: Node) -> list[str]:
     density = min(3, int(4 * node.links / node.size)) if node.size else 4
     size = min(9, node.size.bit_length())
+    place = [f"near {n}" for n in node.near] or ["near none"]
+    place += [f"around {n}" for n in node.around]
     if node.parts is None:
-        out = [f"tag {node.tag}", f"size {size}", f"links {density}", f"links {density} size {size // 2}"]
+        out = [*place, f"tag {node.tag}", f"size {size}", f"links {density}", f"links {density} size {size // 2}"]
         out += [f"name {n}" for n in node.names] or ["name none"]
         if node.tag in ("div", "section", "p", "ul", "aside"):
             out += [f"{node.tag} name {n}" for n in node.names] or [f"{node.tag} name none"]
         return out
     words = "".join(node.parts)
     ends = words.rstrip()[-1:] in ".!?:;\"”»"
-    out = [f"text size {size}", f"text links {density}", f"text in {node.parent.tag}", f"text in {node.parent.tag} links {density}", f"text ends {ends}"]
+    out = [*(f"text {x}" for x in place), f"text size {size}", f"text links {density}", f"text in {node.parent.tag}", f"text in {node.parent.tag} links {density}", f"text ends {ends}"]
     if "©" in words or "copyright" in words.lower()[:400]:
         out.append("text copyright")
     return out

@@ -21,6 +21,7 @@ ADVERTS = ("div.ad", "div.ads", "div.advert", "div.sponsored", "div#banner-ad",
 HEADERS = ("header", "div.header", "div#masthead", "div.topbar", "div.site-title")
 FOOTERS = ("footer", "div.footer", "div#footer", "div.copyright", "div.bottom")
 MENUS = ("nav", "ul.menu", "div.navigation", "div.breadcrumb", "ol.breadcrumbs", "div#nav", "div.tabs", "div.share", "ul.social", "div.pagination", "div.tags")
+LAYOUTS = ("div.wrapper", "div#page", "div.container", "main", "form", "div.with-sidebar", "div.has-header", "div.comments-open", "div.no-ads", "div.main-menu-left", "div.page-footer-fixed", "div")
 COMMENTS = ("div.comments", "section#comments", "ol.comment-list", "div#disqus_thread", "div.replies", "div.user-reviews")
 
 _SYLLABLES = ("ba", "re", "ti", "on", "the", "an", "le", "mo", "su", "er", "ing", "éa", "ü", "ch", "que", "ko", "ny", "da")
@@ -98,7 +99,10 @@ class Writer:
         if r.random() < 0.3:
             side.append(f"<form><label>{o}{self.sentence(1, 4)}</label><input><p>{o}{self.sentence()}</p></form>")
         if r.random() < 0.35:
-            inner = f"<h3>{o}{self.sentence(1, 3)}</h3>" + "".join(f'<{t}>{o}{self.prose(3)}</{t}>' for t in r.choices(("p", "li", "div"), k=r.randint(1, 5)))
+            shapes = ("<p>{}</p>", "<li>{}</li>", "<div>{}</div>", '<div class="comment"><p>{}</p></div>', '<div class="reply"><b>{}</b><p>{}</p></div>', '<article class="comment"><p>{}</p></article>')
+            inner = f"<h3>{o}{self.sentence(1, 3)}</h3>" if r.random() < 0.7 else ""
+            for shape in r.choices(shapes, k=r.randint(1, 6)):
+                inner += shape.replace("{}", o + self.sentence(1, 3), shape.count("{}") - 1).replace("{}", o + self.prose(3))
             end.append(self.wrap(r.choice(COMMENTS), inner))
         if r.random() < 0.85:
             end.append(self.wrap(r.choice(FOOTERS), f"{o}{r.choice(('&copy; ', '© 2020 ', ''))}{self.sentence(1, 9)}" + (f" &middot; {self.sentence()}" if r.random() < 0.5 else "") + (self.links(3, o) if r.random() < 0.3 else ""), self.strict))
@@ -108,8 +112,11 @@ class Writer:
         r, parts = self.rng, self.other()
         body = self.wrap("article" if r.random() < 0.3 else r.choice(WRAPPERS), self.article(), self.strict or r.random() < 0.5)
         if r.random() < 0.4:
-            body = self.wrap(r.choice(("div.wrapper", "div#page", "div.container", "main", "form")), body + "".join(parts["side"]))
+            body = self.wrap(r.choice(LAYOUTS), body + "".join(parts["side"]))
             parts["side"] = []
+        if r.random() < 0.3:
+            body = self.wrap(r.choice(LAYOUTS), body + "".join(parts["end"]))
+            parts["end"] = []
         if r.random() < 0.3:
             r.shuffle(parts["top"])
         return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(parts["top"] + parts["side"][:1] + [body] + parts["side"][1:] + parts["end"])
