@@ -51,8 +51,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All columns, n_tokens and token_ids (little-endian unsigned 32-bit integers). The ids are
     decoded again, and a text that doesn't come back fails the job."""
     ranks = public_tokenizers.path(RANKS)
-    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, ids="token_ids")
-    back = bpe.token_counts(bpe.decode_documents(encoded, ranks, public_tokenizers.PATTERN, ids="token_ids"), ids="token_ids")
+    back = bpe.token_counts(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ids="token_ids"), ids="token_ids")
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     checked = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")).cast("binary"))
     return back.select(*docs.columns, "n_tokens", checked.alias("token_ids"))

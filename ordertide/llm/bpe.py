@@ -118,21 +118,19 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow_kind: pa.DataType, of) -> DataFrame:
-    """`df` plus a column made from `source` in Arrow batches; a column of that name is replaced."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(name, kind)])
+def _with_columns(df: DataFrame, source: str, names: list[str], of) -> DataFrame:
+    """`df` plus binary columns made from `source` in Arrow batches; columns of those names are
+    replaced. One Python worker makes all of them."""
+    kept = [c for c in df.columns if c not in names]
+    where = df.columns.index(source)
+    places = [df.columns.index(c) for c in kept]
+    schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = of()
         for batch in _small(batches):
-            values = batch.column(batch.schema.get_field_index(source))
-            made = pa.array((make(v.as_py()) for v in values), arrow_kind)
-            fields = [batch.schema.field(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in kept), made],
-                schema=pa.schema([*fields, pa.field(name, arrow_kind)]),
-            )
+            made = list(zip(*(make(v.as_py()) for v in batch.column(where)), strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(m, pa.binary()) for m in made)], names=[*kept, *names])
 
     return df.mapInArrow(apply, schema)
 
@@ -149,9 +147,17 @@ def encode_documents(
 
     def of():
         encode = codec(ranks_path, pattern, leaf_chars).encode
-        return lambda v: np.asarray(encode(v or ""), "<u4").tobytes()
+        return lambda v: (_packed(encode(v or "")),)
 
-    return _with_column(df, text, ids, T.BinaryType(), pa.binary(), of)
+    return _with_columns(df, text, [ids], of)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
+def _unpacked(ids: bytes | None) -> list[int]:
+    return np.frombuffer(ids or b"", "<u4").tolist()
 
 
 def decode_documents(
@@ -161,9 +167,26 @@ def decode_documents(
 
     def of():
         decode = codec(ranks_path, pattern, leaf_chars).decode
-        return lambda v: decode(np.frombuffer(v or b"", "<u4").tolist())
+        return lambda v: (decode(_unpacked(v)),)
+
+    return _with_columns(df, ids, [out], of)
+
+
+def round_trip(
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids_le", out: str = "decoded", leaf_chars: int = LEAF_CHARS
+) -> DataFrame:
+    """encode_documents() and decode_documents() of its ids, in one pass of the same workers."""
+
+    def of():
+        c = codec(ranks_path, pattern, leaf_chars)
+
+        def make(v: str | None) -> tuple[bytes, bytes]:
+            packed = _packed(c.encode(v or ""))
+            return packed, c.decode(_unpacked(packed))
+
+        return make
 
-    return _with_column(df, ids, out, T.BinaryType(), pa.binary(), of)
+    return _with_columns(df, text, [ids, out], of)
 
 
 def token_counts(df: DataFrame, ids: str = "ids_le", name: str = "n_tokens") -> DataFrame:

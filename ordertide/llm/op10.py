@@ -18,9 +18,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = public_tokenizers.path(RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    slim = encoded.select("doc_id", "ids_le")
-    decoded = bpe.decode_documents(slim, ranks, public_tokenizers.PATTERN)
-    return bpe.token_counts(decoded).select(
+    both = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.token_counts(both).select(
         "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -24,10 +24,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,8 +334,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     return spans.select("id", "mark", F.aggregate("s", none, joined).alias("spans"))
 
 
-def _cut(text_at: int, cols: list[str]):
-    """Texts without their spans, and what was removed."""
+def _cut(text_at: int, cols: list[str], as_text: bool):
+    """Texts without their spans (their whole characters, if as_text), and what was removed."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shingles.small(batches, text_at):
@@ -350,47 +349,43 @@ def _cut(text_at: int, cols: list[str]):
                     parts.append(raw[at : s["from"]])
                     at = s["to"]
                 parts.append(raw[at:])
-                kept.append(b"".join(parts))
+                left = b"".join(parts)
                 total.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
+                removed.append(len(raw) - len(left))
                 n.append(len(cut))
+                kept.append(b"".join([p.decode(errors="ignore").encode() for p in parts]) if as_text and cut else left)
             made = [pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*cols, "kept", "n_bytes", "n_removed", "n_spans"])
+            if as_text:
+                made[0] = made[0].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*cols, *ADDED])
 
     return apply
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """`docs` with kept (the text's bytes without the repeated ones), n_bytes, n_removed, n_spans.
 
     What is repeated: see repeated(). Null text counts as empty; texts shorter than `length`
-    lose nothing; columns of these names are replaced, others pass through.
+    lose nothing; columns of these names are replaced, others pass through. `as_text` makes
+    kept a string, without characters of which only some bytes are left.
     """
     spans = materialise(repeated(docs, length, id_col, text_col), "spans")
     total = spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
     by_id = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("_spans")).withColumnRenamed("id", "_id")
-    cols = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
+    cols = [c for c in docs.columns if c not in ADDED]
     here = docs.select(*cols)
     side = F.broadcast(by_id) if total <= BROADCAST_INTERVALS else by_id
     both = here.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").select(*cols, "_spans")
-    long = T.LongType()
-    schema = T.StructType([*here.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, long) for c in ("n_bytes", "n_removed", "n_spans"))])
-    return both.mapInArrow(_cut(cols.index(text_col), cols), schema)
+    kinds = (T.StringType() if as_text else T.BinaryType(), T.LongType(), T.LongType(), T.LongType())
+    schema = T.StructType([*here.schema.fields, *(T.StructField(c, k) for c, k in zip(ADDED, kinds, strict=True))])
+    return both.mapInArrow(_cut(cols.index(text_col), cols, as_text), schema)
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with `text_col` cut: what is left of a text, without characters of which only some
-    bytes are left. Texts of which nothing is left go; those that were empty stay."""
-    out = dedup(docs, length, id_col, text_col).where("n_removed < n_bytes OR n_bytes = 0")
-    cols = [c if c != text_col else F.coalesce(valid_text(F.col("kept")), F.lit("")).alias(c) for c in docs.columns]
-    return out.select(*cols)
-
-
-def valid_text(kept: Column) -> Column:
-    """The characters of UTF-8 bytes, without pieces of characters."""
-    return F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(_whole_characters(kept))
-
-
-@F.pandas_udf(T.StringType())
-def _whole_characters(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b if b is None else bytes(b).decode(errors="ignore"))
+    """`docs` with `text_col` cut to the whole characters that are left. Texts that were not empty
+    and of which nothing is left go."""
+    out = dedup(docs, length, id_col, text_col, as_text=True).where("n_removed < n_bytes OR n_bytes = 0")
+    return out.select(*(F.col("kept").alias(c) if c == text_col else c for c in docs.columns))

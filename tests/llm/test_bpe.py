@@ -60,6 +60,9 @@ def test_frames(spark, library):
         ids = library.encode_ordinary(texts[r.doc_id])
         assert np.frombuffer(bytes(r.ids_le), "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert bytes(r.decoded) == texts[r.doc_id].encode()
+    both = bpe.token_counts(bpe.round_trip(df, RANKS, P.PATTERN, leaf_chars=32)).collect()
+    key = lambda r: (r.doc_id, r.n_tokens, bytes(r.ids_le), bytes(r.decoded))
+    assert sorted(map(key, both)) == sorted(map(key, out))
     assert bpe.encode_documents(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
