@@ -24,10 +24,8 @@ def parse_timestamp_ns(text: Column) -> Column:
 
     Digits after the ninth are cut off. Anything else, zone offsets included, is null.
     """
-    head = F.substring(text, 1, 19)
-    fraction = F.regexp_extract(text, r"^.{19}\.([0-9]{1,9})", 1)
-    whole = F.unix_seconds(F.try_to_timestamp(head, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    nanos = F.rpad(fraction, 9, "0").cast("bigint")
+    whole = F.unix_seconds(F.concat(F.substring(text, 1, 19), F.lit("Z")).try_cast("timestamp"))
+    nanos = F.rpad(F.rtrim(F.substring(text, 21, 9), F.lit("Z")), 9, "0").cast("bigint")
     shaped = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z?$")
     return F.when(shaped, whole * F.lit(NANOS).cast("bigint") + nanos)
 

@@ -40,8 +40,10 @@ def _improves(price: Column, before: Column, more: bool) -> Column:
 
 def updates(events: DataFrame, within: tuple[str, ...] = (), piece: int = PIECE) -> DataFrame:
     """(instrument_id, best_bid, best_ask, updates): updates counts strict improvements of either
-    side in the merge's order, the first quote of a side included. Prices above 0."""
-    ordered = with_position(quotes(events), merge_keys(within=within)).withColumn("piece", F.floor(F.col("pos") / piece))
+    side in the merge's order, the first quote of a side included. Prices above 0. Events that
+    have their place in the order already (`pos`) aren't ordered again."""
+    ordered = quotes(events) if "pos" in events.columns else with_position(quotes(events), merge_keys(within=within))
+    ordered = ordered.withColumn("piece", F.floor(F.col("pos") / piece))
     sided = ordered.select("instrument_id", "pos", "piece", *(F.when(F.col("side") == s, F.col("price")).alias(c) for s, c in (("B", "bid"), ("A", "ask"))))
     sided = materialise(sided, "quotes")
 

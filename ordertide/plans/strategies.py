@@ -76,7 +76,7 @@ def outcome(ordered: DataFrame, within: tuple[str, ...] = ()) -> Outcome:
     positioned = with_position(ordered, merge_keys(within=within))
     d = digest.stream_digest(positioned).first()
     distinct = quality.distinct_instruments(positioned).first()[0]
-    n = book.updates(positioned, within).agg(F.coalesce(F.sum("updates"), F.lit(0))).first()[0]
+    n = book.updates(positioned).agg(F.coalesce(F.sum("updates"), F.lit(0))).first()[0]
     return Outcome(d["total"], d["digest"], distinct, int(n))
 
 

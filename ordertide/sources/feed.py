@@ -6,7 +6,7 @@ only the fields that a query needs are taken from the JSON.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.functions import scalars as S
@@ -63,33 +63,32 @@ def parse(lines: DataFrame, normalise: bool = False, price_scale: str = "as writ
     rest = [c for c in lines.columns if c != value]
     said = F.from_json(F.col(value), WIRE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = lines.where(F.trim(F.col(value)) != "").select(*rest, said.alias("w"))
-    return rows.select(*rest, *event_columns("w.", normalise, price_scale))
-
-
-def event_columns(prefix: str = "", normalise: bool = False, price_scale: str = "as written") -> list[Column]:
-    w = lambda c: F.col(f"{prefix}{c}")
-    recv = F.coalesce(S.parse_timestamp_ns(w("ts_recv")), F.lit(0).cast("bigint"))
-    event = S.parse_timestamp_ns(w("hd.ts_event"))
-    key = S.index_ts(recv, event)
-    usable = F.coalesce(key > 0, F.lit(False))
-    paid = S.price(w("price"), price_scale)
+    # what several columns are made of is worked out once, in a step of its own
+    made = rows.select(
+        *rest,
+        "w",
+        F.coalesce(S.parse_timestamp_ns(F.col("w.ts_recv")), F.lit(0).cast("bigint")).alias("_recv"),
+        S.price(F.col("w.price"), price_scale).alias("_paid"),
+    )
+    made = made.withColumn("_key", F.when(F.col("_recv") != 0, F.col("_recv")).otherwise(S.parse_timestamp_ns(F.col("w.hd.ts_event"))))
+    usable = F.coalesce(F.col("_key") > 0, F.lit(False))
     codes = (S.action, S.side) if normalise else (S.one_letter, S.one_letter)
-    status = F.when(w("_corrupt").isNotNull(), F.lit(ERROR)).when(~usable, F.lit(DROP)).otherwise(F.lit(OK))
-    return [
-        F.when(usable, key).otherwise(F.lit(0).cast("bigint")).alias("key_ts_ns"),
-        recv.alias("ts_recv_ns"),
-        paid.alias("price"),
-        S.exact_price(w("price")).alias("price_dec"),
-        S.count_or_zero(w("size")).alias("size"),
-        S.count_or_zero(w("sequence")).alias("sequence"),
-        S.order_id(w("order_id")).alias("order_id"),
-        S.count_or_zero(w("hd.instrument_id")).alias("instrument_id"),
-        S.count_or_zero(w("flags")).alias("flags"),
-        codes[0](w("action")).alias("action"),
-        codes[1](w("side")).alias("side"),
-        paid.isNotNull().alias("has_price"),
-        status.alias("parse_status"),
-    ]
+    return made.select(
+        *rest,
+        F.when(usable, F.col("_key")).otherwise(F.lit(0).cast("bigint")).alias("key_ts_ns"),
+        F.col("_recv").alias("ts_recv_ns"),
+        F.col("_paid").alias("price"),
+        S.exact_price(F.col("w.price")).alias("price_dec"),
+        S.count_or_zero(F.col("w.size")).alias("size"),
+        S.count_or_zero(F.col("w.sequence")).alias("sequence"),
+        S.order_id(F.col("w.order_id")).alias("order_id"),
+        S.count_or_zero(F.col("w.hd.instrument_id")).alias("instrument_id"),
+        S.count_or_zero(F.col("w.flags")).alias("flags"),
+        codes[0](F.col("w.action")).alias("action"),
+        codes[1](F.col("w.side")).alias("side"),
+        F.col("_paid").isNotNull().alias("has_price"),
+        F.when(F.col("w._corrupt").isNotNull(), F.lit(ERROR)).when(~usable, F.lit(DROP)).otherwise(F.lit(OK)).alias("parse_status"),
+    )
 
 
 def read_events(spark: SparkSession, path: str, folder: bool, **options) -> DataFrame:
