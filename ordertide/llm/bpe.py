@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import map_arrow
+
 LEAF_CHARS = 512
 FIRST_WINDOW = 16
 #: Rows handed on at a time.
@@ -132,7 +134,7 @@ def _with_columns(df: DataFrame, source: str, names: list[str], of) -> DataFrame
             made = list(zip(*(make(v.as_py()) for v in batch.column(where)), strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(m, pa.binary()) for m in made)], names=[*kept, *names])
 
-    return df.mapInArrow(apply, schema)
+    return map_arrow(df, apply, schema)
 
 
 def encode_documents(

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .html_pages import CONTENT, OTHER, pages
+from .store import map_arrow
 
 #: Labelled pages trained on, and the seed they come from.
 TRAINING_PAGES, SEED = 1000, 11
@@ -336,4 +337,4 @@ def extract_pages(df: DataFrame, model: Model, html: str = "html", text: str = "
             made = pa.array([extract(v.as_py(), model) for v in batch.column(batch.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*cols, text])
 
-    return df.select(*cols, html).mapInArrow(apply, schema)
+    return map_arrow(df.select(*cols, html), apply, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .components import components
-from .store import materialise
+from .store import map_arrow, materialise
 
 #: Levels that a node chooses among: the number of prefix shingles that a partner must share.
 LEVELS = 4
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, nu
     nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(info.select("node", "doc"), "node"), "pair-nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     texts = docs.join(wanted, docs["id"] == wanted["doc"]).select("text", "node")
-    sets = materialise(texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>, wide array<long>"), "sets")
+    sets = materialise(map_arrow(texts, _whole_sets(words), "node long, shingles array<long>, wide array<long>"), "sets")
     of = lambda side, c: sets.select(F.col("node").alias(side), F.size("shingles").alias(f"{side}_n"), F.col(c).alias(f"{side}_{c}"))
 
     # the wide bitmaps, of a few hundred bytes, leave hardly any pair that isn't a link
@@ -213,14 +213,14 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    census = materialise(src.mapInArrow(_census(words), _CENSUS), "census")
+    census = materialise(map_arrow(src, _census(words), _CENSUS), "census")
     info = census.where("kind = 0").select("id", "node", "n", *(f"b{i}" for i in range(BITMAP_WORDS)))
     nodes = materialise(
         info.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.max("n").alias("n"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BITMAP_WORDS))), "nodes"
     )
 
     common = spark.sparkContext.broadcast(_common(census))
-    lists = src.where("id IS NOT NULL").select("text").mapInArrow(_prefixes(words, num, den, common), "shingle long, node long, level int")
+    lists = map_arrow(src.where("id IS NOT NULL").select("text"), _prefixes(words, num, den, common), "shingle long, node long, level int")
     counted = lists.repartition("shingle").dropDuplicates(["shingle", "node"])
     entries = materialise(counted.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).where("times > 1"), "entries")
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import shingles
 from .mixing import uniform
-from .store import materialise
+from .store import map_arrow, materialise
 
 #: Buckets into which n-grams are hashed.
 BUCKETS = 1 << 16
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Both models' ratio: raw counts from every document, target counts from the labelled sample."""
     sample = labelled_sample(labels, id_col)
     rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("_own") == F.col("_id"), "left").select("text", "good")
-    sums = rows.mapInArrow(_counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = map_arrow(rows, _counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, BUCKETS))
     if sums.num_rows:  # at most 2 * BUCKETS rows
         counts[sums.column(0).to_numpy(), sums.column(1).to_numpy()] = sums.column(2).to_numpy()
@@ -151,7 +151,7 @@ def weigh(docs: DataFrame, model: Model, text_col: str = "text", name: str = "we
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(EFFECTIVE * sums // (sizes + NEUTRAL))], names=[*cols, name])
 
     schema = T.StructType([*docs.select(*cols).schema.fields, T.StructField(name, T.LongType())])
-    return docs.select(*cols).mapInArrow(apply, schema)
+    return map_arrow(docs.select(*cols), apply, schema)
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> int | None:

@@ -1,5 +1,24 @@
-"""Tables in the shared folder, by the library's own helpers."""
+"""Tables in the shared folder, by the library's own helpers, and Arrow operators of bounded batches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ordertide.tables import materialise, new_path, remove, shared_dir, table, write
 
-__all__ = ["materialise", "new_path", "remove", "shared_dir", "table", "write"]
+#: Bytes in a batch between the JVM and Python. Spark's default of 64 MB is held several times over
+#: in each task, outside of the heap.
+ARROW_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, work: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow() in batches of ARROW_BYTES or one row; the session keeps that limit."""
+    df.sparkSession.conf.set(_SETTING, f"{ARROW_BYTES}b")
+    return df.mapInArrow(work, schema)
+
+
+__all__ = ["map_arrow", "materialise", "new_path", "remove", "shared_dir", "table", "write"]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .store import materialise
+from .store import map_arrow, materialise
 from .suffixes import first_equal
 
 LENGTH = 100
@@ -124,7 +124,7 @@ def _bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_anchors(texts: DataFrame, length: int) -> np.ndarray:
     """The bitmap, as bytes, of anchors that occur at least twice: at most BITMAP_BITS / 64 rows
     of it, whatever the input, come to the driver."""
-    counted = texts.mapInArrow(_census(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = map_arrow(texts, _census(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bit = F.explode(F.array(F.col("anchor").bitwiseAND(BITMAP_BITS - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(BITMAP_BITS - 1)))
     words = counted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
@@ -320,9 +320,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(src.select("text"), length))
-    rows = src.mapInArrow(_segment_rows(length, bitmap), _SEGMENT)
+    rows = map_arrow(src, _segment_rows(length, bitmap), _SEGMENT)
     dealt = rows.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_last(), "mark", "at")
-    found = dealt.mapInArrow(_intervals(length), "id long, mark long, from long, to long")
+    found = map_arrow(dealt, _intervals(length), "id long, mark long, from long, to long")
     spans = found.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("s"))
 
     def joined(acc, x):
@@ -381,7 +381,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     both = here.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").select(*cols, "_spans")
     kinds = (T.StringType() if as_text else T.BinaryType(), T.LongType(), T.LongType(), T.LongType())
     schema = T.StructType([*here.schema.fields, *(T.StructField(c, k) for c, k in zip(ADDED, kinds, strict=True))])
-    return both.mapInArrow(_cut(cols.index(text_col), cols, as_text), schema)
+    return map_arrow(both, _cut(cols.index(text_col), cols, as_text), schema)
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import map_arrow
+
 #: Vectors in a block of candidates and of queries, on average.
 CANDIDATES, QUERIES = 4096, 1024
 #: Blocks of candidates are smaller where there would be fewer than tasks, down to this.
@@ -147,6 +149,6 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     candidates = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), c_of.alias("c"), "id", "v")
     queries = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), q_of.alias("q"), "id", "v")
     units = candidates.select(pair(F.col("c"), F.col("q")), F.lit(0).alias("kind"), "id", "v").unionByName(queries.select(pair(F.col("c"), F.col("q")), F.lit(1).alias("kind"), "id", "v"))
-    found = units.repartition("pair").sortWithinPartitions("pair", "kind").mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
+    found = map_arrow(units.repartition("pair").sortWithinPartitions("pair", "kind"), _pairs(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialise, new_path
+from .store import map_arrow, materialise, new_path
 
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 0
@@ -226,4 +226,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                         heads, blocks, held = [], [], 0
                 yield pa.RecordBatch.from_pydict({"header": heads, "block": blocks}, pa.schema([("header", pa.binary()), ("block", pa.binary())]))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "header binary, block binary")
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), cut, "header binary, block binary")
