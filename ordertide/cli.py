@@ -19,6 +19,8 @@ from ordertide.sources import feed
 
 log = logging.getLogger("ordertide")
 SHOWN = 10
+#: Sampled events printed at most.
+PRINTED = 1000
 
 
 def sample_step(default: int) -> int:
@@ -27,6 +29,13 @@ def sample_step(default: int) -> int:
     return max(1, int(said)) if said.lstrip("-").isdigit() else default
 
 
+def chunk_bytes() -> int:
+    """CHUNK_MB from the environment, 16 to 4096, else 192: how large a part of a file one task reads.
+    Results don't depend on it."""
+    said = os.environ.get("CHUNK_MB", "")
+    return min(4096, max(16, int(said) if said.isdigit() else 192)) << 20
+
+
 def report(summary: dict, wall: float) -> list[str]:
     """The summary's lines: only totals where there are no events."""
     lines = [f"Total messages: {summary['total']}", f"Parse errors: {summary['errors']}"]
@@ -48,18 +57,21 @@ def standard(spark: SparkSession, path: str) -> list[str]:
     events = feed.read_events(spark, path, folder=False)
     lines = report(_summary(events), time.time() - began)
     good = quality.kept(events)
+    sampled = order.sample_every(order.with_position(good, [F.col("block"), F.col("row")]), sample_step(100_000))
+    lines += [r[0] for r in sampled.orderBy("pos").select(event_text()).limit(PRINTED).collect()]
     for title, rows in (("First", order.first_n(good, [F.col("block"), F.col("row")], SHOWN)), ("Last", order.last_n(good, ["block", "row"], SHOWN))):
         lines += [f"{title} {SHOWN}:"] + [r[0] for r in rows.orderBy("rank").select(event_text()).collect()]
     return lines
 
 
-def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None = None, check: bool = True) -> tuple[list[str], bool]:
+def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None = None, check: bool = True, exact_hash: bool = False) -> tuple[list[str], bool]:
     """The folder's files merged; the report, and whether strategies agree."""
     began = time.time()
     events = feed.read_events(spark, path, folder=True).withColumnRenamed("source_idx", "source_id")
     within = ("block", "row")
     good = quality.kept(events)
     ids = [r[0] for r in events.select("source_id").distinct().orderBy("source_id").collect()]
+    log.info("Files: %d in %s", len(ids), path)
     lines, outcomes = [], {}
     for name in ("flat", "hierarchy"):
         if mode not in (name, "both"):
@@ -69,9 +81,11 @@ def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None
         if check:
             outcomes[name] = strategies.outcome(merged, within)
             lines.append(f"Total: {outcomes[name].total}, instruments: {outcomes[name].distinct_instruments}, book updates: {outcomes[name].lob_updates}, digest: {outcomes[name].digest & digest.MASK:#018x}")
+    if exact_hash:
+        lines.append(f"Hash: 0x{digest.ordered_hash(good, within).first()['hash']}")
     lines += report(_summary(events), time.time() - began)
     sampled = order.sample_every(order.with_position(good, order.merge_keys(within=within)), sample_step(1_000_000))
-    lines += [r[0] for r in sampled.orderBy("pos").select(event_text()).limit(1000).collect()]
+    lines += [r[0] for r in sampled.orderBy("pos").select(event_text()).limit(PRINTED).collect()]
     same = len(outcomes) < 2 or outcomes["flat"] == outcomes["hierarchy"]
     if len(outcomes) == 2:
         lines.append("Cross-check: " + ("OK" if same else "MISMATCH"))
@@ -88,16 +102,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     many.add_argument("path")
     many.add_argument("mode", nargs="?", default="both", choices=strategies.MODES)
     many.add_argument("--fan-in", type=int, default=int(os.environ.get("FAN_IN") or 0) or None)
+    many.add_argument("--hash", action="store_true", help="also the exact ordered hash, by one task")
     try:
         said = parser.parse_args(args)
     except SystemExit as e:
         return 1 if e.code else 0
     spark = spark or session()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(chunk_bytes()))
     try:
         if said.command == "standard":
             lines, same = standard(spark, said.path), True
         else:
-            lines, same = hard(spark, said.path, said.mode, said.fan_in)
+            lines, same = hard(spark, said.path, said.mode, said.fan_in, exact_hash=said.hash)
     except feed.NoInput as e:
         log.error("%s", e)
         return 1

@@ -79,10 +79,17 @@ def test_split_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_command_line(spark, folder, tmp_path, capsys):
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     assert cli.main(["hard", str(folder)], spark) == 0
     said = capsys.readouterr().out
     assert "Cross-check: OK" in said and "Total messages: 9" in said
+    assert cli.main(["hard", str(folder), "flat", "--hash"], spark) == 0
+    said = capsys.readouterr().out
+    assert "Cross-check" not in said and "Hash: 0x" in said
+    monkeypatch.setenv("PRINT_EVERY", "2")
+    assert cli.main(["hard", str(folder), "flat"], spark) == 0
+    assert capsys.readouterr().out.count("timestamp=2026") == 4
+    monkeypatch.delenv("PRINT_EVERY")
     assert cli.main(["standard", f"{folder}/a.mbo.json"], spark) == 0
     said = capsys.readouterr().out
     assert "Total messages: 3" in said and said.count("timestamp=2026") == 6
@@ -98,6 +105,15 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert capsys.readouterr().out.splitlines()[:2] == ["Total messages: 0", "Parse errors: 0"]
 
 
+def test_settings(monkeypatch):
+    for said, mb in (("", 192), ("1", 16), ("9999", 4096), ("64", 64), ("x", 192)):
+        monkeypatch.setenv("CHUNK_MB", said)
+        assert cli.chunk_bytes() == mb << 20
+    for said, n in (("", 7), ("0", 1), ("-5", 1), ("12", 12), ("x", 7)):
+        monkeypatch.setenv("PRINT_EVERY", said)
+        assert cli.sample_step(7) == n
+
+
 def test_summary_counts_errors_and_drops(spark):
     lines = [event(), event(flags=12), event(ts_recv="absent"), event(ts_recv="absent", hd={}), "{bad", ""]
     r = quality.summary(feed.parse(spark.createDataFrame([(x,) for x in lines], "value string"))).first()

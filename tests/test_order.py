@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordertide.functions import scalars as S
-from ordertide.operators import book, digest, order, quality
+from ordertide.operators import book, digest, dispatch, order, quality
 from ordertide.plans import strategies
 from ordertide.sources.tables import mbo
 
@@ -149,3 +149,13 @@ def test_statistics_of_run_times(spark):
     got = {r.g: r for r in order.order_statistics(df, "g", "t", {"p25": 0.25, "p90": 0.9, "all": 1.0}).collect()}
     assert (got["a"].n, got["a"].least, got["a"].most, got["a"].p25, got["a"].p90, got["a"]["all"], got["a"].median, got["a"]["mean"]) == (4, 1.0, 5.0, 2.0, 5.0, 5.0, 2.5, 2.75)
     assert (got["b"].n, got["b"].median) == (1, 9.0)
+
+
+def test_dispatch(spark):
+    ordered = order.merged(mbo(spark, "/root/testdata/sf0.001"))
+    seen, sizes = [], []
+    n = dispatch.dispatch(ordered, lambda r: seen.append(r.key_ts_ns), lambda r: sizes.append(r.size))
+    assert n == len(seen) == len(sizes) and seen == sorted(seen)
+    parts = dispatch.dispatch_parts(ordered, lambda rows: [{"n": sum(1 for _ in rows)}], "n bigint")
+    assert sum(r.n for r in parts.collect()) == n
+    assert dispatch.dispatch(ordered.limit(0), print) == 0
