@@ -6,7 +6,8 @@ anchor and never need to be compared across anchors. Neighbouring windows of one
 form a segment, which is what moves. Three steps:
 
 1. Census: hashes of all anchors are counted; those seen twice or more go into a bitmap of
-   fixed size. Windows of other anchors occur once and stay where they are.
+   fixed size, or where they are too many into lists by text. Windows of other anchors occur
+   once and stay where they are.
 2. Segments of repeated anchors are cut from the texts. A task sends equal segments once
    and settles later ones itself, so that a passage shared by very many documents reaches
    its shard at most a few times per task.
@@ -38,8 +39,9 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of text worked on at a time, and of segments in one suffix array.
 CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
-#: Bits of the bitmap of repeated anchors; a full one would only let more segments move.
-BITMAP_BITS = 1 << 27
+#: Bits of the bitmap of repeated anchors, and up to how many of these it is used: it then lets
+#: about one in 80 other segments move. Beyond, exact lists of anchors are joined to the texts.
+BITMAP_BITS, BITMAP_ANCHORS = 1 << 27, 8 << 20
 #: Segments that a task remembers, to send equal ones once; beyond, it starts anew and sends some again.
 KNOWN_SEGMENTS = 250_000
 #: Intervals up to which their table is broadcast to the texts; a shuffle join beyond.
@@ -121,18 +123,48 @@ def _bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def repeated_anchors(texts: DataFrame, length: int) -> np.ndarray:
-    """The bitmap, as bytes, of anchors that occur at least twice: at most BITMAP_BITS / 64 rows
-    of it, whatever the input, come to the driver."""
-    counted = map_arrow(texts, _census(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
+    """(anchor): those that occur at least twice, as a written table."""
+    counted = map_arrow(texts, _census(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return materialise(counted.where("n > 1").select("anchor"), "anchors")
+
+
+def _bitmap(anchors: DataFrame) -> np.ndarray:
+    """The bitmap, as bytes, of the anchors: at most BITMAP_BITS / 64 rows of it come to the driver."""
     bit = F.explode(F.array(F.col("anchor").bitwiseAND(BITMAP_BITS - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(BITMAP_BITS - 1)))
-    words = counted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
+    words = anchors.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
     if words.num_rows:
         bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return bitmap.view(np.uint8)
 
 
+def _places(length: int):
+    """(anchor, id, mark) of every text's anchors, each once."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shingles.small(batches, 1):
+            ids = batch.column(0)
+            data, at = shingles.text_buffers(batch.column(1))
+            for i, j, begin, end in chunks(at, length):
+                starts, _, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
+                docs = np.searchsorted(at, starts + begin, "right") - 1
+                for d in np.unique(docs):
+                    own = np.unique(hashes[docs == d])
+                    n = len(own)
+                    mark = _marked(data[at[d] : at[d + 1]].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([ids[d].as_py()] * n, pa.int64()), pa.array(np.full(n, mark))], names=["anchor", "id", "mark"])
+
+    return apply
+
+
+def _with_lists(src: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+    """(id, text, anchors): each text that has repeated anchors, with their list."""
+    placed = materialise(map_arrow(src, _places(length), "anchor long, id long, mark long"), "anchor-places")
+    lists = placed.join(anchors, "anchor").groupBy(F.col("id").alias("_id")).agg(F.collect_set("anchor").alias("anchors"))
+    return src.join(lists, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "anchors")
+
+
 def _marked(text: bytes) -> int:
     """Tells apart texts of one id."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
@@ -144,11 +176,12 @@ def _order(i: int | None, mark: int, at: int) -> tuple:
 
 def _segment_rows(length: int, bitmap):
     """Segments of repeated anchors (bytes given; part is the anchor), and intervals that are
-    settled within the task (bytes null; at and at + windows are the interval's ends)."""
+    settled within the task (bytes null; at and at + windows are the interval's ends). Which
+    anchors are repeated is told by the bitmap, or without one by the rows' third column."""
     schema = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits = bitmap.value if bitmap is not None else None
         known: dict[bytes, tuple] = {}  # digest of a segment: its earliest place in this task
         for batch in shingles.small(batches, 1):
             ids = batch.column(0).to_pylist()
@@ -159,10 +192,16 @@ def _segment_rows(length: int, bitmap):
                 if len(known) > KNOWN_SEGMENTS:
                     known.clear()
                 starts, windows, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
-                one, two = _bits_of(hashes)
-                often = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
-                starts, windows, hashes = starts[often] + begin, windows[often], hashes[often].view(np.int64)
-                docs = np.searchsorted(at, starts, "right") - 1
+                docs = np.searchsorted(at, starts + begin, "right") - 1
+                if bits is not None:
+                    one, two = _bits_of(hashes)
+                    often = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+                else:
+                    often = np.zeros(len(starts), bool)
+                    for d in np.unique(docs):
+                        own = docs == d
+                        often[own] = np.isin(hashes[own].view(np.int64), batch.column(2)[d].values.to_numpy())
+                starts, windows, hashes, docs = starts[often] + begin, windows[often], hashes[often].view(np.int64), docs[often]
                 cols: list[list] = [[], [], [], [], [], []]
                 doc = mark = None
                 run = None  # settled interval that may go on
@@ -319,8 +358,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     the text), or earlier in the same text. Rows equal in id and text count as one text.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(src.select("text"), length))
-    rows = map_arrow(src, _segment_rows(length, bitmap), _SEGMENT)
+    anchors = repeated_anchors(src.select("text"), length)
+    if anchors.count() <= BITMAP_ANCHORS:
+        rows = map_arrow(src, _segment_rows(length, docs.sparkSession.sparkContext.broadcast(_bitmap(anchors))), _SEGMENT)
+    else:
+        rows = map_arrow(_with_lists(src, anchors, length), _segment_rows(length, None), _SEGMENT)
     dealt = rows.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_last(), "mark", "at")
     found = map_arrow(dealt, _intervals(length), "id long, mark long, from long, to long")
     spans = found.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("s"))

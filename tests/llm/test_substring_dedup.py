@@ -94,6 +94,13 @@ def test_shuffle_join(spark, monkeypatch):
     assert rows_of(sd.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 20)) == brute(rows, 20)
 
 
+def test_lists_instead_of_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BITMAP_ANCHORS", 0)
+    rows = corpus(11)
+    assert rows_of(sd.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40)) == brute(rows, 40)
+    assert rows_of(sd.dedup(spark.createDataFrame([(1, "a" * 300)], "doc_id long, text string"))) == brute([(1, "a" * 300)], 100)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for _ in range(200):
