@@ -18,7 +18,8 @@ ORACLE_SQL = None  # no stage but the mixing is expressible in SQL; tests/llm/te
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling keeps."""
-    return quality.resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    kept = quality.resample(docs, table(spark, sf_dir, "labels"), weight="_weight", key="_key")
+    return kept.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id stay. Of rows that repeat an id one stays.
     """
     groups = materialise(ngram_join.join(docs, SHINGLE_WORDS, *SIMILARITY), "groups")
-    dropped = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    dropped = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = materialise(groups.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1 AND _again IS NOT NULL").select("_again"), "again")
+    left = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped_id"), "left_anti")
+    again = materialise(groups.groupBy(F.col("doc_id").alias("_repeated_id")).count().where("count > 1 AND _repeated_id IS NOT NULL").select("_repeated_id"), "again")
     if again.isEmpty():
         return left
-    on = F.col("doc_id") == F.col("_again")
+    on = F.col("doc_id") == F.col("_repeated_id")
     return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
 
 
@@ -43,18 +44,19 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated so that every source has the same share, shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents replicated so that every source has the same share, shuffled. Repeated ids result."""
+    return mixing.mix(docs, copy="_copy", place="_place").select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, n_tokens and token_ids (little-endian unsigned 32-bit integers). The ids are
+    """All columns, n_tokens and token_ids (which replace columns of these names; ids are little-endian unsigned 32-bit integers). The ids are
     decoded again, and a text that doesn't come back fails the job."""
     ranks = public_tokenizers.path(RANKS)
-    back = bpe.token_counts(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ids="token_ids"), ids="token_ids")
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    checked = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")).cast("binary"))
-    return back.select(*docs.columns, "n_tokens", checked.alias("token_ids"))
+    back = bpe.token_counts(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ids="_ids", out="_decoded"), ids="_ids", name="_n")
+    same = F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    checked = F.when(same, F.col("_ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")).cast("binary"))
+    rest = [c for c in docs.columns if c not in ("n_tokens", "token_ids")]
+    return back.select(*rest, F.col("_n").alias("n_tokens"), checked.alias("token_ids"))
 
 
 STAGES = [

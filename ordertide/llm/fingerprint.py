@@ -73,17 +73,17 @@ MAX_RANGES = 65_536
 
 
 def _range_of(ids: DataFrame, parts: int) -> Column:
-    """The number of the descending range that `id` falls into, by two levels of bounds."""
+    """The number of the descending range that `_next_id` falls into, by two levels of bounds."""
     if parts <= 1:
         return F.lit(0)
     marks = [i / parts for i in range(1, parts)]
-    found = ids.agg(F.percentile_approx("id", marks, 10 * parts)).first()[0] or []
+    found = ids.agg(F.percentile_approx("_next_id", marks, 10 * parts)).first()[0] or []
     bounds = sorted(set(found))
     if not bounds:
         return F.lit(0)
     wide = max(1, round(len(bounds) ** 0.5))
     fine = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("id")))
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("_next_id")))
     starts = F.array(*(F.lit(x[0]).cast("long") for x in fine))
     table = F.array(*(F.array(*(F.lit(b).cast("long") for b in x)) for x in fine))
     block = below(starts)
@@ -99,27 +99,27 @@ def with_next(df: DataFrame, id_col: str, carry: list[str], order: list[str], ra
     row of each range is copied to the end of the range before, so no global order is
     ever made in one task. The table of ranges has one small row per range.
     """
-    src = df.withColumn("id", F.col(id_col).cast("long"))
+    src = df.withColumn("_next_id", F.col(id_col).cast("long"))
     total = src.agg(F.sum(F.octet_length(size_col)).alias("b")).first()["b"] or 0
     parts = min(MAX_RANGES, max(1, total // range_bytes))
     if parts > 1:
         parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = _range_of(src.select("id"), parts)
+    part = _range_of(src.select("_next_id"), parts)
     src = src.withColumn("_part", part)
-    firsts = sorted(src.groupBy("_part").agg(F.max("id").alias("id")).collect(), key=lambda r: r["_part"])
+    firsts = sorted(src.groupBy("_part").agg(F.max("_next_id").alias("id")).collect(), key=lambda r: r["_part"])
     before = [(firsts[i]["id"], firsts[i - 1]["_part"]) for i in range(len(firsts))]  # the first range's first follows the last
-    borders = df.sparkSession.createDataFrame(before, "id long, _to int")
+    borders = df.sparkSession.createDataFrame(before, "_border long, _to int")
     guests = (
-        src.join(F.broadcast(borders.withColumnRenamed("id", "_id")), F.col("id").eqNullSafe(F.col("_id")))
+        src.join(F.broadcast(borders), F.col("_next_id").eqNullSafe(F.col("_border")))
         .withColumn("_part", F.col("_to"))
-        .drop("_id", "_to")
+        .drop("_border", "_to")
         .withColumn("_guest", F.lit(1))
     )
     dealt = src.withColumn("_guest", F.lit(0)).unionByName(guests)
-    by = Window.partitionBy("_part").orderBy("_guest", F.col("id").desc_nulls_last(), *order)
+    by = Window.partitionBy("_part").orderBy("_guest", F.col("_next_id").desc_nulls_last(), *order)
     for c in carry:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(by))
-    return dealt.where("_guest = 0").drop("_guest", "_part", "id")
+    return dealt.where("_guest = 0").drop("_guest", "_part", "_next_id")
 
 
 def edited(text: Column, next_text: Column) -> Column:

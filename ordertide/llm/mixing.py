@@ -46,17 +46,17 @@ def poisson_cdf(mean: Column) -> Column:
 def rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, total: int | None) -> tuple[DataFrame, int]:
     """(source, parts, cdf) for each source present, and how many they are. Without `weights`
     all are equal; sources missing from `weights` get 0. Null is a source of its own."""
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col(source).alias("_mix_source")).agg(F.count("*").alias("n"))
     if weights is None:
         weighted = counts.withColumn("w", F.lit(1.0))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_given string, w double")
-        weighted = counts.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_given")), "left").drop("_given").fillna(0.0, ["w"])
+        weighted = counts.join(F.broadcast(given), F.col("_mix_source").eqNullSafe(F.col("_given")), "left").drop("_given").fillna(0.0, ["w"])
     sums = weighted.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     wanted = float(total if total is not None else sums["n"] or 0)
     mean = F.lit(wanted) * F.col("w") / (F.lit(sums["w"]) * F.col("n")) if sums["w"] else F.lit(0.0)
-    rated = weighted.withColumn("mean", mean).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN).cast("int")))
-    return rated.select("_source", "parts", poisson_cdf(F.col("mean") / F.col("parts")).alias("cdf")), sums["sources"]
+    rated = weighted.withColumn("mean", mean).withColumn("_mix_parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN).cast("int")))
+    return rated.select("_mix_source", "_mix_parts", poisson_cdf(F.col("mean") / F.col("_mix_parts")).alias("_mix_cdf")), sums["sources"]
 
 
 def mix(
@@ -80,15 +80,15 @@ def mix(
     table, n = rates(docs, source, weights, total)
     cols = [c for c in docs.columns if c not in (copy, place)]
     if n <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")))
+        joined = docs.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_mix_source")))
     else:  # a hot source is spread over SALTS tasks, its row of rates copied to each
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_deal", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_deal") == F.col("_salt")))
-    below = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: below(uniform(seed, F.col(id_col), part)))
+        salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("_mix_deal", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_deal") == F.col("_mix_salt")))
+    below = lambda u: F.size(F.filter("_mix_cdf", lambda c: c <= u))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda part: below(uniform(seed, F.col(id_col), part)))
     count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-    copies = joined.withColumn("_count", count).where("_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    copies = joined.withColumn("_mix_count", count).where("_mix_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
     placed = copies.select(*cols, copy, _hashed(15, seed, "place", F.col(id_col), F.col(copy)).alias(place))
     return placed.repartition(F.col(place)).sortWithinPartitions(place, id_col)
 

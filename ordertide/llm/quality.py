@@ -217,9 +217,9 @@ def kept(weighed: DataFrame, least: int | None, seed: str = "quality", id_col: s
     return keyed if least is None else keyed.where(F.col(key) >= F.lit(least))
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: str = "quality", id_col: str = "doc_id", text_col: str = "text", weight: str = "weight", key: str = "key") -> DataFrame:
     """The documents that are kept, with `weight` and `key` in units of 1/UNIT."""
     model = fit(docs, labels, id_col, text_col)
-    weighed = weigh(docs, model, text_col)
-    table = materialise(weighed.select(id_col, "weight"), "weights")
-    return kept(weighed, least_key(table, model, seed, id_col), seed, id_col)
+    weighed = weigh(docs, model, text_col, weight)
+    table = materialise(weighed.select(id_col, weight), "weights")
+    return kept(weighed, least_key(table, model, seed, id_col, weight), seed, id_col, weight, key)

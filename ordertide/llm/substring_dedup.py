@@ -376,7 +376,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     return spans.select("id", "mark", F.aggregate("s", none, joined).alias("spans"))
 
 
-def _cut(text_at: int, cols: list[str], as_text: bool):
+def _cut(text_at: int, cols: list[str], added: list[str], as_text: bool):
     """Texts without their spans (their whole characters, if as_text), and what was removed."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +399,7 @@ def _cut(text_at: int, cols: list[str], as_text: bool):
             made = [pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())]
             if as_text:
                 made[0] = made[0].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*cols, *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*cols, *added])
 
     return apply
 
@@ -407,27 +407,29 @@ def _cut(text_at: int, cols: list[str], as_text: bool):
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, prefix: str = "") -> DataFrame:
     """`docs` with kept (the text's bytes without the repeated ones), n_bytes, n_removed, n_spans.
 
     What is repeated: see repeated(). Null text counts as empty; texts shorter than `length`
     lose nothing; columns of these names are replaced, others pass through. `as_text` makes
-    kept a string, without characters of which only some bytes are left.
+    kept a string, without characters of which only some bytes are left. `prefix` goes before
+    the names of the new columns.
     """
     spans = materialise(repeated(docs, length, id_col, text_col), "spans")
     total = spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
-    by_id = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("_spans")).withColumnRenamed("id", "_id")
-    cols = [c for c in docs.columns if c not in ADDED]
+    by_id = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("_dedup_spans")).withColumnRenamed("id", "_dedup_id")
+    added = [prefix + c for c in ADDED]
+    cols = [c for c in docs.columns if c not in added]
     here = docs.select(*cols)
     side = F.broadcast(by_id) if total <= BROADCAST_INTERVALS else by_id
-    both = here.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").select(*cols, "_spans")
+    both = here.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_dedup_id")), "left").select(*cols, "_dedup_spans")
     kinds = (T.StringType() if as_text else T.BinaryType(), T.LongType(), T.LongType(), T.LongType())
-    schema = T.StructType([*here.schema.fields, *(T.StructField(c, k) for c, k in zip(ADDED, kinds, strict=True))])
-    return map_arrow(both, _cut(cols.index(text_col), cols, as_text), schema)
+    schema = T.StructType([*here.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
+    return map_arrow(both, _cut(cols.index(text_col), cols, added, as_text), schema)
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with `text_col` cut to the whole characters that are left. Texts that were not empty
     and of which nothing is left go."""
-    out = dedup(docs, length, id_col, text_col, as_text=True).where("n_removed < n_bytes OR n_bytes = 0")
-    return out.select(*(F.col("kept").alias(c) if c == text_col else c for c in docs.columns))
+    out = dedup(docs, length, id_col, text_col, as_text=True, prefix="_dedup_").where("_dedup_n_removed < _dedup_n_bytes OR _dedup_n_bytes = 0")
+    return out.select(*(F.col("_dedup_kept").alias(c) if c == text_col else c for c in docs.columns))

@@ -75,6 +75,16 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert data or docs.count() == 0
 
 
+def test_clashing_columns_pass_through(spark, tmp_path):
+    names = ["weight", "key", "copy", "place", "cdf", "parts", "node", "id", "kept", "n_bytes", "decoded", "ids_le", "good", "label", "spans", "_id", "shingle", "fingerprint"]
+    docs = spark.createDataFrame([(i, f"Text number {i} is here. " * 9, "s", *(f"{n}{i}" for n in names)) for i in range(5)], ["doc_id", "text", "source", *names])
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names) and docs.count()
+
+
 def test_pieces_of_characters_go(spark):
     """Removed bytes may begin or end inside a character, of which then nothing is left."""
     df = spark.createDataFrame([(1, "x" + "éàü" * 40), (2, "y" + "éàü" * 40 + "é"), (3, "\u00a9" + "éàü" * 40), (4, ""), (5, None), (6, "éàü" * 40)], "doc_id long, text string")
@@ -86,6 +96,6 @@ def test_pieces_of_characters_go(spark):
 
 def test_damaged_round_trip_fails(spark, monkeypatch):
     real = pipeline.bpe.round_trip
-    monkeypatch.setattr(pipeline.bpe, "round_trip", lambda *a, **k: real(*a, **k).withColumn("decoded", F.encode(F.lit("z"), "UTF-8")))
+    monkeypatch.setattr(pipeline.bpe, "round_trip", lambda *a, **k: real(*a, **k).withColumn("_decoded", F.encode(F.lit("z"), "UTF-8")))
     with pytest.raises(Exception, match="don't decode"):
         pipeline.encode_texts(spark, spark.createDataFrame([("a",)], "text string"), "").collect()
