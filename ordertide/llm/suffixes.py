@@ -40,7 +40,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         suffixes, here = order[places], group[places]
         step = min(h, depth - h)
         there = rank[np.minimum(suffixes + step, n)]
-        again = np.lexsort((suffixes, there, here))
+        # one key for both ranks; a stable sort keeps the order of positions among equals
+        again = np.argsort(here * (n + 1) + (there + 1), kind="stable")
         suffixes, there = suffixes[again], there[again]
         split = np.ones(len(places), bool)
         split[1:] = (here[1:] != here[:-1]) | (there[1:] != there[:-1])
