@@ -39,15 +39,18 @@ def _placed(lines: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all feed files right in a folder, with source_idx: the place of the file's path in
-    lexicographic order. Other files are ignored; without any feed file NoInput is raised."""
+    """Lines of all feed files right in a folder, with source_idx: the place of the file's name in
+    lexicographic order. Other files are ignored, also those that Spark takes for hidden (their
+    names begin with a point or underscore); without any feed file NoInput is raised."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted(str(s.getPath().toString()) for s in fs.listStatus(place) if s.isFile() and s.getPath().getName().endswith(FILE_PATTERN[2:]) and len(s.getPath().getName()) > len(FILE_PATTERN) - 2)
+    suffix = FILE_PATTERN[2:]
+    names = (s.getPath().getName() for s in fs.listStatus(place) if s.isFile())
+    found = sorted(n for n in names if n.endswith(suffix) and len(n) > len(suffix) and n[0] not in "._")
     if not found:
         raise NoInput(f"no {FILE_PATTERN} files in {path}")
-    names = spark.createDataFrame([(i, f.rsplit("/", 1)[1]) for i, f in enumerate(found)], "source_idx int, file_name string")
+    names = spark.createDataFrame(list(enumerate(found)), "source_idx int, file_name string")
     lines = spark.read.option("pathGlobFilter", FILE_PATTERN).option("recursiveFileLookup", "false").text(path)
     named = _placed(lines).withColumn("file_name", F.url_decode(F.element_at(F.split("source_path", "/"), -1)))
     return named.join(F.broadcast(names), "file_name").drop("file_name")  # one small row per file

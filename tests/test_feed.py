@@ -53,6 +53,7 @@ def folder(tmp_path):
         (tmp_path / name).write_text("".join(event(ts_recv=f"2026-04-01T07:00:{t // 10:02d}.{t % 10}00000000Z", sequence=t, price=f"{t}.0") + "\n" for t in times))
     for other in ("manifest.json", "symbology.json", ".mbo.json", "x.mbo.json.txt"):
         (tmp_path / other).write_text("{}\n")
+    (tmp_path / "_hidden.mbo.json").write_text(event() + "\n")
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "z.mbo.json").write_text(event() + "\n")
     assert base
