@@ -26,7 +26,7 @@ from .html_pages import CONTENT, OTHER, pages
 from .store import map_arrow
 
 #: Labelled pages trained on, and the seed they come from.
-TRAINING_PAGES, SEED = 1000, 11
+TRAINING_PAGES, SEED = 1500, 11
 
 #: Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -57,21 +57,19 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("around", "children", "features", "kind", "links", "names", "near", "parent", "parts", "size", "tag")
+    __slots__ = ("around", "children", "features", "kind", "links", "names", "parent", "parts", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple[str, ...] = ()):
         self.tag, self.parent, self.names = tag, parent, names
         self.children: list[Node] = []
         self.parts: list[str] | None = None
         self.size = self.links = 0
-        # what the nearest telling element around says, and what all of them say
-        self.near: tuple[str, ...] = ()
-        self.around: frozenset[str] = frozenset()
+        # what elements around say they are, the nearest last
+        self.around: tuple[tuple[Node, tuple[str, ...]], ...] = ()
         if parent is not None:
             parent.children.append(self)
             told = parent.names + ((parent.tag,) if parent.tag in TELLING else ())
-            self.near = told or parent.near
-            self.around = parent.around.union(told) if told and parent.tag not in ("html", "body") else parent.around
+            self.around = (*parent.around, (parent, told)) if told else parent.around
 
 
 def _named(attributes: str) -> tuple[str, ...]:
@@ -192,15 +190,19 @@ def flat(root: Node) -> list[Node]:
         node.kind = "text" if node.parts is not None else node.tag if node.tag in ("p", "li", "td", "div") else "head" if node.tag in HEADINGS else "block"
         if node.parent is None or node.parent.tag in ("#root", "html", "body"):
             node.kind = "top"
-        node.features = _features(node)
+        node.features = _features(node, root.size)
     return out
 
 
-def _features(node: Node) -> list[str]:
+def _features(node: Node, whole: int) -> list[str]:
     density = min(3, int(4 * node.links / node.size)) if node.size else 4
     size = min(9, node.size.bit_length())
-    place = [f"near {n}" for n in node.near] or ["near none"]
-    place += [f"around {n}" for n in node.around]
+    place = []
+    for around, told in node.around:
+        # a part that holds most of the page's text isn't what its name says
+        share = "most" if 2 * around.size > whole else "some" if 5 * around.size > whole else "little"
+        place += [f"around {n} {share}" for n in told]
+    place += [f"near {n} {share}" for n in told] if node.around else ["near none"]
     if node.parts is None:
         out = [*place, f"tag {node.tag}", f"size {size}", f"links {density}", f"links {density} size {size // 2}"]
         out += [f"name {n}" for n in node.names] or ["name none"]

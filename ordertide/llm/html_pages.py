@@ -60,7 +60,8 @@ class Writer:
     def article(self) -> str:
         r, out = self.rng, []
         if r.random() < 0.85:
-            out.append(f"<h1>{CONTENT}{self.sentence(2, 9)}</h1>")
+            title = f"<h1>{CONTENT}{self.sentence(2, 9)}</h1>"
+            out.append(f"<header>{title}</header>" if r.random() < 0.12 else title)
         for _ in range(r.choice((1, 2, 4, 8, 14))):
             kind = r.random()
             if kind < 0.68:
@@ -80,13 +81,18 @@ class Writer:
                 out.append("<table>" + "".join(f"<tr><td>{CONTENT}{self.word()}<td>{CONTENT}{r.randint(1, 999)}" for _ in range(r.randint(2, 5))) + "</table>")
             else:
                 out.append(self.wrap(r.choice(ADVERTS), OTHER + self.sentence()))
+        if r.random() < 0.12:
+            out.append(self.wrap(r.choice(FOOTERS), OTHER + self.sentence(1, 6)))
         return "".join(out)
 
     def other(self) -> dict[str, list[str]]:
         r, o = self.rng, OTHER
         top, side, end = [], [], []
         if r.random() < 0.4:
-            top.append(self.wrap(r.choice(HEADERS), f"{o}{self.sentence(1, 5)}" + (self.links(r.randint(2, 6), o) if r.random() < 0.5 else "")))
+            name = f"{o}{self.sentence(1, 4)}"
+            if r.random() < 0.4:
+                name = self.wrap(r.choice(("h1", "h2", "h1.logo", "p.tagline")), f'<a href="/">{name}</a>' if r.random() < 0.4 else name)
+            top.append(self.wrap(r.choice(HEADERS), name + (self.links(r.randint(2, 6), o) if r.random() < 0.5 else "")))
         if r.random() < 0.85:
             top.append(self.wrap(r.choice(MENUS), self.links(r.randint(2, 10), o)))
         if r.random() < 0.35:
@@ -109,11 +115,18 @@ class Writer:
         return {"top": top, "side": side, "end": end}
 
     def page(self) -> str:
-        r, parts = self.rng, self.other()
+        r = self.rng
+        if r.random() < 0.05:  # hardly any markup
+            text = CONTENT + self.prose()
+            return text if r.random() < 0.5 else f"<html><body>{text}<br>{self.prose()}</body></html>"
+        parts = self.other()
         body = self.wrap("article" if r.random() < 0.3 else r.choice(WRAPPERS), self.article(), self.strict or r.random() < 0.5)
         if r.random() < 0.4:
             body = self.wrap(r.choice(LAYOUTS), body + "".join(parts["side"]))
             parts["side"] = []
+        if r.random() < 0.12:
+            cell = r.choice(("td", "td.nav", "td.sidebar", "td.menu"))
+            body = "<table><tr>" + self.wrap(cell, self.links(r.randint(2, 6), OTHER)) + self.wrap(r.choice(("td", "td.text", "td.main")), body) + "</tr></table>"
         if r.random() < 0.3:
             body = self.wrap(r.choice(LAYOUTS), body + "".join(parts["end"]))
             parts["end"] = []

@@ -135,7 +135,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     Candidates are all rows but those of the query's own id. Null vectors, null ids and
     vectors with a null or non-finite component take no part; shorter vectors count as
     ending in zeros. Rows with equal vectors are separate candidates; of rows with one id
-    the smallest vector counts. Columns besides the two are read only by `is_query`.
+    the smallest vector counts. Scores are exact as long as they fit a long. Columns besides the two are read only by `is_query`.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"), is_query.alias("asks"))
     rows = rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
