@@ -138,7 +138,7 @@ def event_print(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mbo(spark, sf_dir).select("sequence", S.event_text().alias("line"))
 
 
-@query(f"WITH {MBO_SQL} SELECT sequence, (instrument_id << 32) | flags AS instrument_word, ascii(action) | (ascii(side) << 8) | (CAST(has_price AS INTEGER) << 16) AS code_word, '0x' || lpad(lower(hex(key_ts_ns)), 16, '0') AS key_hex FROM mbo")
+@query(f"WITH {MBO_SQL} SELECT sequence, (instrument_id << 32) | flags AS instrument_word, CAST(ascii(action) | (ascii(side) << 8) | (CAST(has_price AS INTEGER) << 16) AS BIGINT) AS code_word, '0x' || lpad(lower(hex(key_ts_ns)), 16, '0') AS key_hex FROM mbo")
 def field_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = S.packed_codes(F.col("action"), F.col("side"), F.col("has_price")).alias("code_word")
     return mbo(spark, sf_dir).select("sequence", S.packed_instrument(F.col("instrument_id"), F.col("flags")).alias("instrument_word"), codes, S.hex64(F.col("key_ts_ns")).alias("key_hex"))
