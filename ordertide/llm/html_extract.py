@@ -32,7 +32,7 @@ TRAINING_PAGES, SEED = 1500, 11
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea noembed noframes xmp title".split())
-HIDDEN = frozenset("head button select option object svg canvas audio video map datalist math".split())
+HIDDEN = frozenset("button select option object svg canvas audio video map datalist math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TELLING = frozenset("nav aside footer header form article main section".split())
 #: Which open elements a start tag ends, and what stops the search for them.
@@ -167,7 +167,8 @@ def parse(html: str) -> Node:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
                 if k and (stack[k][0] == "p" or (name in HEADINGS and stack[k][0] in HEADINGS)):
                     close_to(k)
-        if name in VOID or m[0].endswith("/>") and name in HIDDEN:
+        # head shows nothing of its own, and what isn't head content ends it, </head> or not: it is no element here
+        if name in VOID or name == "head" or m[0].endswith("/>") and name in HIDDEN:
             continue
         tag, block, hidden, link = stack[-1]
         if is_block:

@@ -85,6 +85,20 @@ def test_parser(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<head><title>x</title><body><article>a<p>b</article>", ["a", "b"]),
+        ("<!DOCTYPE html><html><head><meta charset=utf-8><title>x</title><style>p{}</style><script>s</script><div>a</div>", ["a"]),
+        ("<html><head><title>x</title>a <b>b</b><p>c", ["a b", "c"]),
+        ("<head><title>x</title><link rel=y></head><body><p>a</head>b", ["ab"]),
+        ("<p>a<head>b<p>c", ["ab", "c"]),
+    ],
+)
+def test_head_left_open(html, want):
+    assert text_of(html) == want
+
+
 def test_long_page(model):
     page = "<article>" + "<p>Some words that go on for a while, and on.</p>" * 20_000 + "<div>" * 5000 + "x"
     assert H.extract(page, model).count("\n") >= 19_999
