@@ -54,6 +54,8 @@ _GROUP = {word: group for group, words in NAMES.items() for word in words.split(
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Ends of elements whose content isn't markup; searched for in the page itself, as lower() may change its length.
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 
 class Node:
@@ -88,7 +90,7 @@ def parse(html: str) -> Node:
     root = Node("#root", None)
     stack: list[tuple[str, Node, bool, bool]] = [("#root", root, False, False)]  # tag, block, hidden, link
     piece: Node | None = None
-    at, low = 0, None
+    at = 0
 
     def text(raw: str) -> None:
         nonlocal piece
@@ -143,11 +145,10 @@ def parse(html: str) -> Node:
                         break
             continue
         if name in RAW:
-            low = low if low is not None else html.lower()
-            end = low.find(f"</{name}", at)
-            if end < 0:
+            end = _RAW_END[name].search(html, at)
+            if end is None:
                 return root
-            at = html.find(">", end) + 1 or len(html)
+            at = html.find(">", end.end()) + 1 or len(html)
             continue
         if name == "br":
             text(" ")

@@ -99,6 +99,12 @@ def test_head_left_open(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize("name", sorted(H.RAW))
+def test_letters_that_grow_in_lower_case(name):
+    dots = "\u0130" * 50
+    assert text_of(f"<p>{dots}</p><{name}>a</{name.upper()} >b<p>c</p>d") == [dots, "b", "c", "d"]
+
+
 def test_long_page(model):
     page = "<article>" + "<p>Some words that go on for a while, and on.</p>" * 20_000 + "<div>" * 5000 + "x"
     assert H.extract(page, model).count("\n") >= 19_999
