@@ -214,7 +214,7 @@ def _features(node: Node, whole: int) -> list[str]:
     words = "".join(node.parts)
     ends = words.rstrip()[-1:] in ".!?:;\"”»"
     out = [*(f"text {x}" for x in place), f"text size {size}", f"text links {density}", f"text in {node.parent.tag}", f"text in {node.parent.tag} links {density}", f"text ends {ends}"]
-    if "©" in words or "copyright" in words.lower()[:400]:
+    if "©" in words or "copyright" in words.lower():
         out.append("text copyright")
     return out
 

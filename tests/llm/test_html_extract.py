@@ -105,6 +105,11 @@ def test_letters_that_grow_in_lower_case(name):
     assert text_of(f"<p>{dots}</p><{name}>a</{name.upper()} >b<p>c</p>d") == [dots, "b", "c", "d"]
 
 
+def test_copyright_late_in_a_piece():
+    page = "<div>" + "<a href=x>Some link</a> " * 60 + "Example Ltd, 1 Long Road. Copyright Example Ltd</div>"
+    assert "text copyright" in H.flat(H.parse(page))[-1].features
+
+
 def test_long_page(model):
     page = "<article>" + "<p>Some words that go on for a while, and on.</p>" * 20_000 + "<div>" * 5000 + "x"
     assert H.extract(page, model).count("\n") >= 19_999
