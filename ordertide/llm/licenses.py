@@ -157,7 +157,7 @@ def _spaces(c: Column) -> Column:
 
 def _spans(norm: Column, pattern: Column) -> Column:
     """Intervals of words (start, end) where the pattern matches, left to right."""
-    whole = F.concat(F.lit(r"\G(.*?)("), pattern, F.lit(")"))
+    whole = F.concat(F.lit(r"(?s)\G(.*?)("), pattern, F.lit(")"))
     part = lambda i: F.regexp_extract_all(norm, whole, F.lit(i))
     steps = F.zip_with(part(1), part(2), lambda gap, hit: F.struct(_spaces(gap).alias("gap"), _spaces(hit).alias("hit")))
     none = F.array().cast("array<struct<start:int,end:int>>")

@@ -55,6 +55,18 @@ def test_odd_texts(spark, tmp_path):
     assert got[9][5] == "apache-2.0" and got[4][1] == 3
 
 
+@pytest.mark.parametrize("mark", ["\u0085", "\u2028", "\u2029"])
+def test_line_separators_are_gaps_too(spark, mark):
+    texts = [f"a{mark}b the mit license and mit license", f"mit license {mark} x{mark} Apache License, Version 2.0; isc license", f"mit license{mark} mit license", f"{mark} spdx-license-identifier: MIT {mark} all rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(df).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t)
+        starts = [b.start for b in got[i].base]
+        assert (got[i].n_words, len(starts), min(starts, default=None), max(starts, default=None)) == want[:4]
+        assert ",".join(sorted({b.label for b in got[i].base} | {k.label for k in got[i].kept})) == want[5]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = rows_of(op7.query(spark, sf))
