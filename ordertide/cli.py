@@ -69,7 +69,7 @@ def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None
     began = time.time()
     events = feed.read_events(spark, path, folder=True).withColumnRenamed("source_idx", "source_id")
     within = ("block", "row")
-    good = quality.kept(events)
+    good = order.hold_back(quality.kept(events), within)
     ids = [r[0] for r in events.select("source_id").distinct().orderBy("source_id").collect()]
     log.info("Files: %d in %s", len(ids), path)
     lines, outcomes = [], {}
@@ -84,7 +84,7 @@ def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None
     if exact_hash:
         lines.append(f"Hash: 0x{digest.ordered_hash(good, within).first()['hash']}")
     lines += report(_summary(events), time.time() - began)
-    sampled = order.sample_every(order.with_position(good, order.merge_keys(within=within)), sample_step(1_000_000))
+    sampled = order.sample_every(order.with_position(good, order.stream_keys(good, within)), sample_step(1_000_000))
     lines += [r[0] for r in sampled.orderBy("pos").select(event_text()).limit(PRINTED).collect()]
     same = len(outcomes) < 2 or outcomes["flat"] == outcomes["hierarchy"]
     if len(outcomes) == 2:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.functions import scalars as S
-from ordertide.operators.order import merge_keys
+from ordertide.operators.order import stream_keys
 
 MASK = (1 << 64) - 1
 #: Event columns in the order in which they are hashed, each with the type that it is hashed as.
@@ -57,6 +57,6 @@ def ordered_hash(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
                     h = step(h, int(w))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([f"{h:016x}"])], names=["total", "hash"])
 
-    ordered = events.orderBy(*merge_keys(within=within)).select(*(w.alias(f"w{i}") for i, w in enumerate(words())))
+    ordered = events.orderBy(*stream_keys(events, within)).select(*(w.alias(f"w{i}") for i, w in enumerate(words())))
     folded = ordered.coalesce(1).mapInArrow(fold, "total bigint, hash string")
     return folded.agg(F.coalesce(F.max("total"), F.lit(0).cast("bigint")).alias("total"), F.coalesce(F.max("hash"), F.lit(f"{S.HASH_START:016x}")).alias("hash"))

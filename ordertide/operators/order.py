@@ -37,6 +37,22 @@ def unsorted_keys(source: str = SOURCE, within: tuple[str, ...] = (), name: str
     return [F.col(name).asc(), F.col(source).desc(), *(F.col(c).asc() for c in within)]
 
 
+def hold_back(events: DataFrame, within: tuple[str, ...], source: str = SOURCE, name: str = "held") -> DataFrame:
+    """`events`, plus `name` if a source isn't sorted: rows of such sources are held back, those of
+    others keep their own (key, sequence)."""
+    late = [r[0] for r in disorder(events, within, source=source).select(source).collect()]
+    if not late:
+        return events
+    own = F.struct(F.col(KEY).alias("k"), F.col(SEQUENCE).alias("q"))
+    is_late = F.col(source).isin(late)
+    return held_back(events.where(is_late), within, source=source, name=name).unionByName(events.where(~is_late).withColumn(name, own))
+
+
+def stream_keys(events: DataFrame, within: tuple[str, ...] = ()) -> list[Column]:
+    """Sort keys of the merge of what hold_back() gave, or of sources known to be sorted."""
+    return unsorted_keys(within=within) if "held" in events.columns else merge_keys(within=within)
+
+
 def disorder(events: DataFrame, within: tuple[str, ...], key: str = KEY, sequence: str = SEQUENCE, source: str = SOURCE) -> DataFrame:
     """(source, rows out of order) of sources that aren't sorted."""
     by = Window.partitionBy(source).orderBy(*within)

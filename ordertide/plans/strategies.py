@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.operators import book, digest, quality
-from ordertide.operators.order import merge_keys, with_position
+from ordertide.operators.order import stream_keys, with_position
 
 MODES = ("flat", "hierarchy", "both")
 FAN_IN = 4
@@ -21,7 +21,7 @@ def fan_in(n: int | None) -> int:
 
 def flat(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """All sources merged at once: one range exchange and sort."""
-    return events.orderBy(*merge_keys(within=within))
+    return events.orderBy(*stream_keys(events, within))
 
 
 def hierarchy(sources: list[DataFrame], n: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
@@ -36,9 +36,9 @@ def hierarchy(sources: list[DataFrame], n: int | None = None, within: tuple[str,
             node = level[i]
             for other in level[i + 1 : i + group]:
                 node = node.unionByName(other)
-            merged.append(node.sortWithinPartitions(*merge_keys(within=within)) if len(level[i : i + group]) > 1 else node)
+            merged.append(node.sortWithinPartitions(*stream_keys(node, within)) if len(level[i : i + group]) > 1 else node)
         level = merged
-    return level[0].orderBy(*merge_keys(within=within))
+    return level[0].orderBy(*stream_keys(level[0], within))
 
 
 def levels(sources: int, n: int | None = None) -> list[int]:
@@ -73,7 +73,7 @@ class Outcome:
 
 
 def outcome(ordered: DataFrame, within: tuple[str, ...] = ()) -> Outcome:
-    positioned = with_position(ordered, merge_keys(within=within))
+    positioned = with_position(ordered, stream_keys(ordered, within))
     d = digest.stream_digest(positioned).first()
     distinct = quality.distinct_instruments(positioned).first()[0]
     n = book.updates(positioned).agg(F.coalesce(F.sum("updates"), F.lit(0))).first()[0]

@@ -1,9 +1,11 @@
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ordertide import cli
-from ordertide.operators import order, quality
+from ordertide.operators import digest, order, quality
 from ordertide.sources import feed
 
 GOOD = {"ts_recv": "2026-04-01T07:00:00.123456789Z", "hd": {"ts_event": "2026-04-01T07:00:00.100000000Z", "rtype": 160, "publisher_id": 101, "instrument_id": 12345}, "action": "A", "side": "B", "price": "0.001234567", "size": 100, "channel_id": 79, "order_id": "9876543210", "flags": 0, "ts_in_delta": -1000, "sequence": 555, "symbol": "X"}
@@ -106,6 +108,24 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     assert capsys.readouterr().out.splitlines()[:2] == ["Total messages: 0", "Parse errors: 0"]
 
 
+def test_command_line_with_an_unsorted_file(spark, tmp_path, capsys, monkeypatch):
+    at = lambda s, q: event(sequence=q, order_id=str(q), ts_recv=f"2026-03-09T07:52:{s:02}.000000000Z")
+    (tmp_path / "a.mbo.json").write_text("\n".join([at(5, 1), at(2, 2), at(9, 3)]) + "\n")
+    (tmp_path / "b.mbo.json").write_text("\n".join([at(3, 4), at(6, 5)]) + "\n")
+    monkeypatch.setenv("PRINT_EVERY", "1")
+    seen = {}
+    for mode in ("flat", "hierarchy"):
+        assert cli.main(["hard", str(tmp_path), mode, "--hash"], spark) == 0
+        said = capsys.readouterr().out.splitlines()
+        assert [int(re.search(r"order_id=(\d+)", x)[1]) for x in said if x.startswith("timestamp=")] == [4, 1, 2, 5, 3]
+        seen[mode] = [x for x in said if x.startswith(("Total:", "Hash:"))]
+    assert seen["flat"] == seen["hierarchy"]
+    events = feed.read_events(spark, str(tmp_path), folder=True).withColumnRenamed("source_idx", "source_id")
+    place = F.array_position(F.array(*map(F.lit, [4, 1, 2, 5, 3])), F.col("sequence").cast("int"))
+    want = digest.stream_digest(events.withColumn("pos", place)).first().digest
+    assert f"digest: {want & digest.MASK:#018x}" in seen["flat"][0]
+
+
 def test_settings(monkeypatch):
     for said, mb in (("", 192), ("1", 16), ("9999", 4096), ("64", 64), ("x", 192)):
         monkeypatch.setenv("CHUNK_MB", said)
