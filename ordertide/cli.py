@@ -7,6 +7,7 @@ import logging
 import os
 import sys
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,6 @@ from ordertide.sources import feed
 
 log = logging.getLogger("ordertide")
 SHOWN = 10
-#: Sampled events printed at most.
-PRINTED = 1000
 
 
 def sample_step(default: int) -> int:
@@ -51,45 +50,53 @@ def _summary(events: DataFrame) -> dict:
     return shown.first().asDict()
 
 
-def standard(spark: SparkSession, path: str) -> list[str]:
-    """First and last events in the order of the file, and the summary."""
+def _say_sampled(sampled: DataFrame, say: Callable[[str], None]) -> None:
+    """All sampled events in order, a partition at a time."""
+    for row in sampled.orderBy("pos").select(event_text()).toLocalIterator():
+        say(row[0])
+
+
+def standard(spark: SparkSession, path: str, say: Callable[[str], None] = print) -> None:
+    """First and last events in the order of the file, and the summary, said line by line."""
     began = time.time()
     events = feed.read_events(spark, path, folder=False)
-    lines = report(_summary(events), time.time() - began)
+    for line in report(_summary(events), time.time() - began):
+        say(line)
     good = quality.kept(events)
     sampled = order.sample_every(order.with_position(good, [F.col("block"), F.col("row")]), sample_step(100_000))
-    lines += [r[0] for r in sampled.orderBy("pos").select(event_text()).limit(PRINTED).collect()]
+    _say_sampled(sampled, say)
     for title, rows in (("First", order.first_n(good, [F.col("block"), F.col("row")], SHOWN)), ("Last", order.last_n(good, ["block", "row"], SHOWN))):
-        lines += [f"{title} {SHOWN}:"] + [r[0] for r in rows.orderBy("rank").select(event_text()).collect()]
-    return lines
+        for line in [f"{title} {SHOWN}:"] + [r[0] for r in rows.orderBy("rank").select(event_text()).collect()]:
+            say(line)
 
 
-def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None = None, check: bool = True, exact_hash: bool = False) -> tuple[list[str], bool]:
-    """The folder's files merged; the report, and whether strategies agree."""
+def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None = None, check: bool = True, exact_hash: bool = False, say: Callable[[str], None] = print) -> bool:
+    """The folder's files merged, the report said line by line; whether strategies agree."""
     began = time.time()
     events = feed.read_events(spark, path, folder=True).withColumnRenamed("source_idx", "source_id")
     within = ("block", "row")
     good = order.hold_back(quality.kept(events), within)
     ids = [r[0] for r in events.select("source_id").distinct().orderBy("source_id").collect()]
     log.info("Files: %d in %s", len(ids), path)
-    lines, outcomes = [], {}
+    outcomes = {}
     for name in ("flat", "hierarchy"):
         if mode not in (name, "both"):
             continue
         merged = strategies.flat(good, within) if name == "flat" or not ids else strategies.hierarchy(strategies.split_sources(good, ids), fan_in, within)
-        lines.append(f"Strategy: {name}")
+        say(f"Strategy: {name}")
         if check:
             outcomes[name] = strategies.outcome(merged, within)
-            lines.append(f"Total: {outcomes[name].total}, instruments: {outcomes[name].distinct_instruments}, book updates: {outcomes[name].lob_updates}, digest: {outcomes[name].digest & digest.MASK:#018x}")
+            say(f"Total: {outcomes[name].total}, instruments: {outcomes[name].distinct_instruments}, book updates: {outcomes[name].lob_updates}, digest: {outcomes[name].digest & digest.MASK:#018x}")
     if exact_hash:
-        lines.append(f"Hash: 0x{digest.ordered_hash(good, within).first()['hash']}")
-    lines += report(_summary(events), time.time() - began)
+        say(f"Hash: 0x{digest.ordered_hash(good, within).first()['hash']}")
+    for line in report(_summary(events), time.time() - began):
+        say(line)
     sampled = order.sample_every(order.with_position(good, order.stream_keys(good, within)), sample_step(1_000_000))
-    lines += [r[0] for r in sampled.orderBy("pos").select(event_text()).limit(PRINTED).collect()]
+    _say_sampled(sampled, say)
     same = len(outcomes) < 2 or outcomes["flat"] == outcomes["hierarchy"]
     if len(outcomes) == 2:
-        lines.append("Cross-check: " + ("OK" if same else "MISMATCH"))
-    return lines, same
+        say("Cross-check: " + ("OK" if same else "MISMATCH"))
+    return same
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -111,9 +118,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(chunk_bytes()))
     try:
         if said.command == "standard":
-            lines, same = standard(spark, said.path), True
+            standard(spark, said.path)
+            same = True
         else:
-            lines, same = hard(spark, said.path, said.mode, said.fan_in, exact_hash=said.hash)
+            same = hard(spark, said.path, said.mode, said.fan_in, exact_hash=said.hash)
     except feed.NoInput as e:
         log.error("%s", e)
         return 1
@@ -122,7 +130,6 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             log.error("cannot read %s", said.path)
             return 1
         raise
-    print("\n".join(lines))
     return 0 if same else 2
 
 

@@ -126,6 +126,16 @@ def test_command_line_with_an_unsorted_file(spark, tmp_path, capsys, monkeypatch
     assert f"digest: {want & digest.MASK:#018x}" in seen["flat"][0]
 
 
+def test_every_sampled_event_is_printed(spark, tmp_path, capsys, monkeypatch):
+    n = 2500
+    (tmp_path / "a.mbo.json").write_text("".join(event(sequence=i, order_id=str(i)) + "\n" for i in range(n)))
+    monkeypatch.setenv("PRINT_EVERY", "1")
+    for args, more in ((["standard", f"{tmp_path}/a.mbo.json"], 20), (["hard", str(tmp_path), "flat"], 0)):
+        assert cli.main(args, spark) == 0
+        said = [int(x) for x in re.findall(r"order_id=(\d+)", capsys.readouterr().out)]
+        assert said[:n] == list(range(n)) and len(said) == n + more
+
+
 def test_settings(monkeypatch):
     for said, mb in (("", 192), ("1", 16), ("9999", 4096), ("64", 64), ("x", 192)):
         monkeypatch.setenv("CHUNK_MB", said)
