@@ -25,4 +25,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score."""
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, repeats=True)

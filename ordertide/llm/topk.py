@@ -128,22 +128,27 @@ def _pairs(k: int):
     return apply
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024, repeats: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k candidates of largest integer
     inner product of the scaled vectors, ties to the smaller id; all where there are fewer.
 
     Candidates are all rows but those of the query's own id. Null vectors, null ids and
     vectors with a null or non-finite component take no part; shorter vectors count as
     ending in zeros. Rows with equal vectors are separate candidates; of rows with one id
-    the smallest vector counts. Scores are exact as long as they fit a long. Columns besides the two are read only by `is_query`.
+    the smallest vector counts, or with `repeats` each is a candidate and a query of its own, and
+    an id's queries share its ranks. Scores are exact as long as they fit a long. Columns besides the two are read only by `is_query`.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"), is_query.alias("asks"))
-    rows = rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    rows = rows.where("v IS NOT NULL AND id IS NOT NULL")
+    if repeats:  # of equal rows k at most can be among the k best
+        rows = rows.groupBy("id", "v", "asks").agg(F.count("*").alias("n")).select(F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(k)).cast("int"))), "id", "v", "asks").drop("col")
+    else:
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
     n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c_blocks = max(1, -(-n["n"] // CANDIDATES), min(tasks, n["n"] // LEAST_CANDIDATES))
     q_blocks = max(1, -(-n["q"] // QUERIES))
-    h = F.xxhash64("id")
+    h = F.xxhash64("id", "v") if repeats else F.xxhash64("id")
     c_of, q_of = F.pmod(h, F.lit(c_blocks)), F.pmod(F.shiftright(h, 20), F.lit(q_blocks))
     pair = lambda c, q: (c * q_blocks + q).alias("pair")
     candidates = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), c_of.alias("c"), "id", "v")

@@ -68,3 +68,15 @@ def test_query_and_sql(spark):
         con = duckdb.connect()
         con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/{sf}/embeddings.parquet'")
         assert rows_of(op4.query(spark, f"/root/testdata/{sf}")) == sorted(con.sql(op4.SQL).fetchall())
+
+
+def test_repeated_ids_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 0, 7, 7, 100, 200, i]), [rng.random() for _ in range(4)]) for i in range(1, 90)]
+    rows += [(5, [2.0] * 4)] * 14 + [(100, [0.5] * 4)] * 3 + [(300, [1.0, 2.0, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows_of(op4.query(spark, str(tmp_path))) == sorted(con.sql(op4.SQL).fetchall())
