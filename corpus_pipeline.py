@@ -25,17 +25,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by Jaccard similarity the document of the smallest id.
 
-    Rows with a null id stay. Of rows that repeat an id one stays.
+    Rows with a null id stay. Rows that repeat an id are documents of their own, in the order of
+    their text and then their other columns; of those of equal text one stays.
     """
-    groups = materialise(ngram_join.join(docs, SHINGLE_WORDS, *SIMILARITY), "groups")
-    dropped = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
+    key, columns = "doc_id", docs.columns
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        key = "_row_id"
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        once = docs.where("doc_id IS NOT NULL").orderBy("doc_id", "text", *rest).withColumn(key, F.monotonically_increasing_id())
+        first = once.groupBy("doc_id", "text").agg(F.min(F.struct(key, *rest)).alias("_first")).select("doc_id", "text", "_first.*")
+        docs = materialise(first.unionByName(docs.where("doc_id IS NULL").withColumn(key, F.lit(None).cast("long"))), "rows")
+    groups = materialise(ngram_join.join(docs, SHINGLE_WORDS, *SIMILARITY, id_col=key), "groups")
+    dropped = materialise(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped_id")).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped_id"), "left_anti")
-    again = materialise(groups.groupBy(F.col("doc_id").alias("_repeated_id")).count().where("count > 1 AND _repeated_id IS NOT NULL").select("_repeated_id"), "again")
-    if again.isEmpty():
-        return left
-    on = F.col("doc_id") == F.col("_repeated_id")
-    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    left = docs.join(F.broadcast(dropped) if few else dropped, F.col(key) == F.col("_dropped_id"), "left_anti")
+    return left.select(*columns)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

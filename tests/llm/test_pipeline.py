@@ -75,6 +75,14 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert data or docs.count() == 0
 
 
+def test_repeated_ids_of_different_texts_stay(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, text("a"), "x"), (2, text("a") + " end", "x"), (2, text("b"), "x"), (2, text("c"), "z"), (2, text("c"), "y"), (2, text("c") + " end", "x"), (3, "", "x"), (3, "", "w"), (None, text("a"), "x")]
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    want = [(1, text("a"), "x"), (2, text("b"), "x"), (2, text("c"), "y"), (3, "", "w"), (None, text("a"), "x")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_clashing_columns_pass_through(spark, tmp_path):
     names = ["weight", "key", "copy", "place", "cdf", "parts", "node", "id", "kept", "n_bytes", "decoded", "ids_le", "good", "label", "spans", "_id", "shingle", "fingerprint"]
     docs = spark.createDataFrame([(i, f"Text number {i} is here. " * 9, "s", *(f"{n}{i}" for n in names)) for i in range(5)], ["doc_id", "text", "source", *names])
