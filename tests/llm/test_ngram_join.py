@@ -78,6 +78,37 @@ def test_query(spark):
     assert got == brute(rows, 3, 90, 100) and any(c != i for i, _, c in got)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "other words are in this one"
+    rows = [(5, a), (5, b), (3, a), (4, b), (9, c), (9, ""), (9, None), (7, c), (8, ""), (8, None), (None, a), (6, a), (6, c)]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 3), (6, 3), (7, 3), (8, 8), (8, 8), (9, 3), (9, 3), (9, 3)]
+
+
+@pytest.mark.parametrize("bits", [2, 64])
+def test_sets_that_share_a_hash_stay_apart(spark, bits):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
+    rows += [(100 + i, t + " end") for i, t in rows[::2]] + [(200 + i, t) for i, t in rows[::3]]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, hash_bits=bits)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 3, 8, 10)
+
+
+@pytest.mark.parametrize("share", [0, 1000])
+def test_dear_and_cheap_nodes(spark, monkeypatch, share):
+    monkeypatch.setattr(ngram_join, "CHEAP_SHARE", share)
+    rng = random.Random(share)
+    rows = []
+    for g in range(3):  # variants of a text, near the similarity and under it
+        base = [f"{g}w{j}" for j in range(150)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randrange(8)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w[: rng.choice([150, 150, 140, 120])])))
+    got = sorted((tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 10).collect()), key=str)
+    assert got == brute(rows, 5, 8, 10) and len({r[2] for r in got}) > 20
+
+
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
