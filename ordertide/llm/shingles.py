@@ -14,11 +14,6 @@ _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def is_word(data: np.ndarray) -> np.ndarray:
-    """Whether each byte belongs to a word."""
-    return _WORD[data]
-
-
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
@@ -71,6 +66,26 @@ def slice_words(data: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(parts, starts - starts[0])), starts
 
 
+_CASED = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def slice_tokens(data: np.ndarray, forced: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (letters as they are) and start of every run of bytes of one kind but 0; places in
+    `forced` begin a new text."""
+    kinds = kind[data]
+    first = kinds > 0
+    first[1:] &= kinds[1:] != kinds[:-1]
+    forced = forced[forced < len(data)]
+    first[forced] = kinds[forced] > 0
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = np.diff(np.append(starts, len(data)))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
+    parts = np.where(kinds[starts[0] :] > 0, _CASED[data[starts[0] :]], np.uint64(0)) * _powers(int(lengths.max()) + 1)[place]
+    return mix(np.add.reduceat(parts, starts - starts[0])), starts
+
+
 def small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about BATCH_BYTES of the text in `column`, or of one longer text."""
     for batch in batches:
