@@ -17,8 +17,11 @@ ORACLE_SQL = None  # no stage but the mixing is expressible in SQL; tests/llm/te
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
-    kept = quality.resample(docs, table(spark, sf_dir, "labels"), weight="_weight", key="_key")
+    """Documents that the importance resampling keeps, by strata of `lang` if there is such a column.
+    Null and empty texts weigh 0, and rows that repeat an id are weighed by their own text; without
+    labels of good quality all documents stay."""
+    stratum = "lang" if "lang" in docs.columns else None
+    kept = quality.resample(docs, table(spark, sf_dir, "labels"), weight="_weight", key="_key", stratum=stratum)
     return kept.select(*docs.columns)
 
 
@@ -48,7 +51,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated so that every source has the same share, shuffled. Repeated ids result."""
+    """Documents replicated so that every source has the same share, shuffled. Repeated ids result. A
+    null source is a source of its own; rows of equal ids, and those without, have equal counts."""
     return mixing.mix(docs, copy="_copy", place="_place").select(*docs.columns)
 
 
