@@ -3,11 +3,16 @@
 Each window of `length` bytes has an anchor: its 24-gram of least hash, the leftmost of
 equal ones. Equal windows have equal anchors, so windows are dealt to shards by their
 anchor and never need to be compared across anchors. Neighbouring windows of one anchor
-form a segment, which is what moves. Three steps:
+form a segment, which is what moves. Equal windows also lie equally around their anchor; so
+an anchor that occurs very often is dealt by more than itself: its windows are taken in
+blocks of neighbouring places around it, and a block goes to the shard of the bytes that all
+its windows share. The more often it occurs, the smaller the blocks, down to single windows;
+variants of a text then meet only where they differ in less than a block. Three steps:
 
 1. Census: hashes of all anchors are counted; those seen twice or more go into a bitmap of
    fixed size, or where they are too many into lists by text. Windows of other anchors occur
-   once and stay where they are.
+   once and stay where they are. Small bitmaps tell the frequent anchors; where one errs, an
+   anchor is dealt in smaller blocks than it need be, the same everywhere.
 2. Segments of repeated anchors are cut from the texts. A task sends equal segments once
    and settles later ones itself, so that a passage shared by very many documents reaches
    its shard at most a few times per task.
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,14 +43,18 @@ from .suffixes import first_equal
 LENGTH = 100
 GRAM = 24
 #: Bytes of text worked on at a time, and of segments in one suffix array.
-CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 19, 1 << 19
 #: Bits of the bitmap of repeated anchors, and up to how many of these it is used: it then lets
 #: about one in 80 other segments move. Beyond, exact lists of anchors are joined to the texts.
 BITMAP_BITS, BITMAP_ANCHORS = 1 << 27, 8 << 20
+#: Occurrences beyond which an anchor's windows are dealt in blocks, of a third of the size each time
+#: (the last: one window), and the bits of each bitmap that tells these anchors.
+FREQUENT, FREQUENT_BITS = (1_000, 30_000, 1_000_000, 30_000_000), 1 << 24
 #: Segments that a task remembers, to send equal ones once; beyond, it starts anew and sends some again.
 KNOWN_SEGMENTS = 250_000
-#: Intervals up to which their table is broadcast to the texts; a shuffle join beyond.
-BROADCAST_INTERVALS = 1_000_000
+#: Size of the intervals' table up to which it is broadcast to the texts (16 bytes an interval and 64 a
+#: text); a shuffle join beyond.
+BROADCAST_BYTES = 64 << 20
 
 _SEGMENT = "part long, id long, mark long, at long, windows int, bytes binary"
 
@@ -65,12 +74,13 @@ def chunks(at: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
         i = j
 
 
-def segments(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor hash) of the segments of `data`, in which texts end at `edges`."""
+def segments(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, anchor's hash, anchor's place after start) of the segments of `data`, in which
+    texts end at `edges`."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     gram = min(GRAM, length)
     eight = data.astype(np.uint64)
     for k in (1, 2, 4):  # eight bytes from each place, zeros past the end
@@ -99,41 +109,65 @@ def segments(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarr
     first[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     windows = np.add.reduceat(inside.astype(np.int64), starts)
-    return starts, windows, h[anchor[starts]]
+    return starts, windows, h[anchor[starts]], anchor[starts] - starts
+
+
+def block_sizes(length: int) -> list[int]:
+    """Windows in a block of a frequent anchor, by level."""
+    sizes, size = [], length - min(GRAM, length) + 1
+    for _ in FREQUENT:
+        size = max(1, -(-size // 3))
+        sizes.append(size)
+    return sizes[:-1] + [1]
+
+
+def blocks(windows: np.ndarray, lead: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments cut into blocks of `size` windows, counted from the anchor backwards: (segment, first
+    window after its start, windows, number of the block). A size of 0 leaves a segment whole."""
+    size = np.where(size > 0, size, lead + 1)
+    high, low = lead // size, (lead - windows + 1) // size
+    n = high - low + 1
+    of = np.repeat(np.arange(len(n)), n)
+    number = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    most = np.minimum(lead[of], (number + 1) * size[of] - 1)
+    least = np.maximum((lead - windows + 1)[of], number * size[of])
+    return of, lead[of] - most, most - least + 1, number
 
 
 def _census(length: int):
-    """Hashes of anchors; those seen again in a piece count as two."""
+    """Hashes of anchors and how often each occurs."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shingles.small(batches, 0):
             data, at = shingles.text_buffers(batch.column(0))
             for i, j, begin, end in chunks(at, length):
-                _, _, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
+                _, _, hashes, _ = segments(data[begin:end], at[i + 1 : j] - begin, length)
                 seen, times = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times)], names=["anchor", "n"])
 
     return apply
 
 
-def _bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(BITMAP_BITS - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set."""
+    mask = np.uint64(8 * len(bitmap) - 1)
+    one, two = (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+    return (bitmap[one >> 3] >> (one & 7).astype(np.uint8) & bitmap[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor): those that occur at least twice, as a written table."""
-    counted = map_arrow(texts, _census(length), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return materialise(counted.where("n > 1").select("anchor"), "anchors")
+    """(anchor, n): those that occur at least twice, as a written table."""
+    counted = map_arrow(texts, _census(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return materialise(counted.where("n > 1"), "anchors")
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """The bitmap, as bytes, of the anchors: at most BITMAP_BITS / 64 rows of it come to the driver."""
-    bit = F.explode(F.array(F.col("anchor").bitwiseAND(BITMAP_BITS - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(BITMAP_BITS - 1)))
+def _bitmap(anchors: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap, as bytes, of the anchors: at most `bits` / 64 rows of it come to the driver."""
+    bit = F.explode(F.array(F.col("anchor").bitwiseAND(bits - 1), F.shiftrightunsigned("anchor", 32).bitwiseAND(bits - 1)))
     words = anchors.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+    bitmap = np.zeros(bits // 64, np.uint64)
     if words.num_rows:
         bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return bitmap.view(np.uint8)
@@ -144,70 +178,83 @@ def _places(length: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shingles.small(batches, 1):
-            ids = batch.column(0)
+            ids, marks = batch.column(0), batch.column(2)
             data, at = shingles.text_buffers(batch.column(1))
             for i, j, begin, end in chunks(at, length):
-                starts, _, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
+                starts, _, hashes, _ = segments(data[begin:end], at[i + 1 : j] - begin, length)
                 docs = np.searchsorted(at, starts + begin, "right") - 1
                 for d in np.unique(docs):
                     own = np.unique(hashes[docs == d])
                     n = len(own)
-                    mark = _marked(data[at[d] : at[d + 1]].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([ids[d].as_py()] * n, pa.int64()), pa.array(np.full(n, mark))], names=["anchor", "id", "mark"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([ids[d].as_py()] * n, pa.int64()), pa.array([marks[d].as_py()] * n, pa.int64())], names=["anchor", "id", "mark"])
 
     return apply
 
 
+def _same_text(other: str) -> Column:
+    """Whether (id, mark) are those of `other`'s columns."""
+    return F.col("id").eqNullSafe(F.col(f"{other}_id")) & (F.col("mark") == F.col(f"{other}_mark"))
+
+
 def _with_lists(src: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """(id, text, anchors): each text that has repeated anchors, with their list."""
+    """(id, text, mark, anchors): each text that has repeated anchors, with their list."""
     placed = materialise(map_arrow(src, _places(length), "anchor long, id long, mark long"), "anchor-places")
-    lists = placed.join(anchors, "anchor").groupBy(F.col("id").alias("_id")).agg(F.collect_set("anchor").alias("anchors"))
-    return src.join(lists, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "anchors")
+    lists = placed.join(anchors.select("anchor"), "anchor").groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("anchor").alias("anchors"))
+    return src.join(lists, _same_text("")).select("id", "text", "mark", "anchors")
 
 
-def _marked(text: bytes) -> int:
+def _mark(text: Column) -> Column:
     """Tells apart texts of one id."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _order(i: int | None, mark: int, at: int) -> tuple:
     return (i is None, i or 0, mark, at)
 
 
-def _segment_rows(length: int, bitmap):
+def _segment_rows(length: int, bitmaps):
     """Segments of repeated anchors (bytes given; part is the anchor), and intervals that are
     settled within the task (bytes null; at and at + windows are the interval's ends). Which
-    anchors are repeated is told by the bitmap, or without one by the rows' third column."""
+    anchors are repeated is told by the first of the bitmaps, or without one (None) by the rows' last
+    column; which are frequent, by the others."""
     schema = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value if bitmap is not None else None
+        repeated, *frequent = bitmaps.value
         known: dict[bytes, tuple] = {}  # digest of a segment: its earliest place in this task
         for batch in shingles.small(batches, 1):
-            ids = batch.column(0).to_pylist()
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, at = shingles.text_buffers(batch.column(1))
             data, at = data[at[0] : at[-1]], at - at[0]
             whole = data.tobytes()
             for i, j, begin, end in chunks(at, length):
                 if len(known) > KNOWN_SEGMENTS:
                     known.clear()
-                starts, windows, hashes = segments(data[begin:end], at[i + 1 : j] - begin, length)
+                starts, windows, hashes, lead = segments(data[begin:end], at[i + 1 : j] - begin, length)
                 docs = np.searchsorted(at, starts + begin, "right") - 1
-                if bits is not None:
-                    one, two = _bits_of(hashes)
-                    often = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+                if repeated is not None:
+                    often = _in_bitmap(repeated, hashes)
                 else:
                     often = np.zeros(len(starts), bool)
                     for d in np.unique(docs):
                         own = docs == d
-                        often[own] = np.isin(hashes[own].view(np.int64), batch.column(2)[d].values.to_numpy())
-                starts, windows, hashes, docs = starts[often] + begin, windows[often], hashes[often].view(np.int64), docs[often]
+                        often[own] = np.isin(hashes[own].view(np.int64), batch.column(3)[d].values.to_numpy())
+                starts, windows, hashes, docs, lead = starts[often] + begin, windows[often], hashes[often], docs[often], lead[often]
+                size = np.zeros(len(starts), np.int64)
+                for width, bitmap in zip(block_sizes(length), frequent, strict=False):
+                    size[_in_bitmap(bitmap, hashes)] = width
+                of, skip, count, number = blocks(windows, lead, size)
+                anchors_at, size = (starts + lead)[of], size[of]
+                starts, windows, hashes, docs = starts[of] + skip, count, hashes.view(np.int64)[of], docs[of]
+                shared = anchors_at - number * size  # where the bytes begin that all windows of a block share
                 cols: list[list] = [[], [], [], [], [], []]
                 doc = mark = None
                 run = None  # settled interval that may go on
-                for s, w, part, d in zip(starts.tolist(), windows.tolist(), hashes.tolist(), docs.tolist(), strict=True):
+                for s, w, part, d, width, block, c in zip(starts.tolist(), windows.tolist(), hashes.tolist(), docs.tolist(), size.tolist(), number.tolist(), shared.tolist(), strict=True):
                     if d != doc:
-                        doc, mark = d, _marked(whole[at[d] : at[d + 1]])
+                        doc, mark = d, marks[d]
+                    if width:
+                        part = xxhash.xxh3_64_intdigest(whole[c : c + length - width + 1], seed=block) - (1 << 63)
                     place = s - int(at[d])
                     own = _order(ids[d], mark, place)
                     piece = whole[s : s + w + length - 1]
@@ -357,12 +404,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     text of smaller id (null ids come last; texts of one id in the order of `mark`, a hash of
     the text), or earlier in the same text. Rows equal in id and text count as one text.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _mark(F.col(text_col)).alias("mark"))
     anchors = repeated_anchors(src.select("text"), length)
-    if anchors.count() <= BITMAP_ANCHORS:
-        rows = map_arrow(src, _segment_rows(length, docs.sparkSession.sparkContext.broadcast(_bitmap(anchors))), _SEGMENT)
-    else:
-        rows = map_arrow(_with_lists(src, anchors, length), _segment_rows(length, None), _SEGMENT)
+    sizes = anchors.agg(F.count("*"), *(F.count_if(F.col("n") > n) for n in FREQUENT)).first()
+    bitmaps = [_bitmap(anchors, BITMAP_BITS) if sizes[0] <= BITMAP_ANCHORS else None]
+    bitmaps += [_bitmap(anchors.where(F.col("n") > n), FREQUENT_BITS) for n, some in zip(FREQUENT, sizes[1:], strict=True) if some]
+    texts = src if bitmaps[0] is not None else _with_lists(src, anchors, length)
+    rows = map_arrow(texts, _segment_rows(length, docs.sparkSession.sparkContext.broadcast(bitmaps)), _SEGMENT)
     dealt = rows.repartition("part").sortWithinPartitions("part", F.col("id").asc_nulls_last(), "mark", "at")
     found = map_arrow(dealt, _intervals(length), "id long, mark long, from long, to long")
     spans = found.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("s"))
@@ -383,9 +431,8 @@ def _cut(text_at: int, cols: list[str], added: list[str], as_text: bool):
         for batch in shingles.small(batches, text_at):
             spans = batch.column(batch.num_columns - 1).to_pylist()
             kept, removed, n, total = [], [], [], []
-            for text, by_mark in zip(batch.column(text_at), spans, strict=True):
-                raw = (text.as_py() or "").encode()
-                cut = next((m["spans"] for m in by_mark if m["mark"] == _marked(raw)), []) if by_mark else []
+            for text, cut in zip(batch.column(text_at), spans, strict=True):
+                raw, cut = (text.as_py() or "").encode(), cut or []
                 at, parts = 0, []
                 for s in cut:
                     parts.append(raw[at : s["from"]])
@@ -415,14 +462,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     kept a string, without characters of which only some bytes are left. `prefix` goes before
     the names of the new columns.
     """
-    spans = materialise(repeated(docs, length, id_col, text_col), "spans")
-    total = spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
-    by_id = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("_dedup_spans")).withColumnRenamed("id", "_dedup_id")
+    spans = materialise(repeated(docs, length, id_col, text_col).toDF("_dedup_id", "_dedup_mark", "_dedup_spans"), "spans")
+    total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("_dedup_spans")), F.lit(0))).first()
     added = [prefix + c for c in ADDED]
     cols = [c for c in docs.columns if c not in added]
     here = docs.select(*cols)
-    side = F.broadcast(by_id) if total <= BROADCAST_INTERVALS else by_id
-    both = here.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_dedup_id")), "left").select(*cols, "_dedup_spans")
+    side = F.broadcast(spans) if 64 * total[0] + 16 * total[1] <= BROADCAST_BYTES else spans
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dedup_id")) & (_mark(F.col(text_col)) == F.col("_dedup_mark"))
+    both = here.join(side, same, "left").select(*cols, "_dedup_spans")
     kinds = (T.StringType() if as_text else T.BinaryType(), T.LongType(), T.LongType(), T.LongType())
     schema = T.StructType([*here.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
     return map_arrow(both, _cut(cols.index(text_col), cols, added, as_text), schema)

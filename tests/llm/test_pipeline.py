@@ -18,8 +18,8 @@ pipeline = importlib.import_module("corpus_pipeline")
 
 def brute(rows, labels):
     """(doc_id, text, source, n_tokens, ids) of every row of the result."""
-    stay = {i for i, *_ in brute_quality([(i, t) for i, t, _ in rows], labels)}
-    rows = [r for r in rows if r[0] in stay]
+    stay = {i for i, *_ in brute_quality([r[:2] for r in rows], labels, strata=[r[3] for r in rows])}
+    rows = [r[:3] for r in rows if r[0] in stay]
     first = {i: c for i, _, c in brute_groups([(i, t) for i, t, _ in rows], 5, 8, 10)}
     rows = [r for r in rows if first[r[0]] == r[0]]
     seen, left = set(), []
@@ -45,7 +45,7 @@ def brute(rows, labels):
 
 def test_run_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
-    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = sorted((r.doc_id, r.text, r.source, r.n_tokens, tuple(np.frombuffer(bytes(r.token_ids), "<u4").tolist())) for r in pipeline.run(spark, sf).collect())
     want = brute(rows, labels)

@@ -3,17 +3,23 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from ordertide.llm import op6, suffixes
 from ordertide.llm import substring_dedup as sd
 
 
+def marked(text):
+    """As Spark's xxhash64 has it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text, seed=42)).view(np.int64))
+
+
 def brute(rows, length):
     """(id, n_bytes, n_removed, n_spans, sha256 of the rest) for each row."""
-    marked = {(i is None, i or 0, sd._marked((t or "").encode())): (t or "").encode() for i, t in rows}
+    texts = {(i is None, i or 0, marked((t or "").encode())): (t or "").encode() for i, t in rows}
     seen, spans = set(), {}
-    for key in sorted(marked):
-        b = marked[key]
+    for key in sorted(texts):
+        b = texts[key]
         gone = [False] * len(b)
         for p in range(len(b) - length + 1):
             w = b[p : p + length]
@@ -24,7 +30,7 @@ def brute(rows, length):
     out = []
     for i, t in rows:
         b = (t or "").encode()
-        gone = spans[i is None, i or 0, sd._marked(b)]
+        gone = spans[i is None, i or 0, marked(b)]
         rest = bytes(c for c, g in zip(b, gone) if not g)
         n = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(b), sum(gone), n, hashlib.sha256(rest).hexdigest()))
@@ -69,10 +75,11 @@ def test_against_brute_force(spark, monkeypatch, seed, length, shard, chunk):
     monkeypatch.setattr(sd, "CHUNK_BYTES", chunk)
     import pyarrow as pa
 
-    class Held:
-        value = np.full(sd.BITMAP_BITS // 8, 255, np.uint8)
+    class Held:  # with these seeds anchors are whole, or frequent ones of a level
+        value = [np.full(sd.BITMAP_BITS // 8, 255, np.uint8)] * (1 + (seed - 1) % 5)
 
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["id", "text"])
+    marks = [marked((t or "").encode()) for _, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows]), pa.array(marks)], names=["id", "text", "mark"])
     cut = [r for b in sd._segment_rows(length, Held)(iter([batch])) for r in b.to_pylist()]
     cut.sort(key=lambda r: (r["part"], r["id"] is None, r["id"] or 0, r["mark"], r["at"]))
     rows_in = pa.RecordBatch.from_pylist(cut, pa.schema([("part", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())]))
@@ -83,17 +90,45 @@ def test_against_brute_force(spark, monkeypatch, seed, length, shard, chunk):
     out = []
     for i, t in rows:
         raw = (t or "").encode()
-        g = gone.get((i, sd._marked(raw)), set())
+        g = gone.get((i, marked(raw)), set())
         out.append((i, len(raw), len(g), sum(k - 1 not in g for k in g), hashlib.sha256(bytes(c for k, c in enumerate(raw) if k not in g)).hexdigest()))
     assert sorted(out, key=str) == brute(rows, length)
 
 
 def test_shuffle_join(spark, monkeypatch):
-    monkeypatch.setattr(sd, "BROADCAST_INTERVALS", 0)
+    monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
     rows = corpus(9)
     assert rows_of(sd.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 20)) == brute(rows, 20)
 
 
+def test_frequent_anchors(spark, monkeypatch):
+    monkeypatch.setattr(sd, "FREQUENT", (1, 5, 20, 60))
+    rows = corpus(12)
+    base = " ".join(f"b{j}" for j in range(90))
+    rng = random.Random(5)
+    for i in range(90):  # variants of a text, and null ids among them
+        at = rng.randrange(len(base))
+        rows.append((2000 + i if i % 3 else None, base[:at] + rng.choice("xyzé") + base[at + 1 :]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(sd.dedup(df)) == brute(rows, 100)
+    assert rows_of(sd.dedup(df, 30)) == brute(rows, 30)
+
+
+@pytest.mark.parametrize("length", [5, 30, 100])
+def test_blocks_hold_every_window_once(length):
+    rng = np.random.default_rng(length)
+    span = length - min(sd.GRAM, length) + 1
+    lead = rng.integers(0, span, 200)
+    windows = np.array([rng.integers(1, x + 2) for x in lead])
+    assert sd.block_sizes(length)[-1] == 1
+    for size in [0, *sd.block_sizes(length)]:
+        of, skip, count, number = sd.blocks(windows, lead, np.full(200, size))
+        for k in range(200):
+            mine = [(a, n, b) for o, a, n, b in zip(of, skip, count, number) if o == k]
+            assert [w for a, n, _ in mine for w in range(a, a + n)] == list(range(windows[k]))
+            assert not size or all((lead[k] - w) // size == b for a, n, b in mine for w in range(a, a + n))
+
+
 def test_lists_instead_of_a_bitmap(spark, monkeypatch):
     monkeypatch.setattr(sd, "BITMAP_ANCHORS", 0)
     rows = corpus(11)
