@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -13,11 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session has none (local tests) a temporary folder is made and set.
+    A local session that has none (in tests) gets a temporary folder, which goes when the driver's
+    Python ends; on a cluster executors wouldn't see it, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ordertide-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="ordertide-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -52,7 +58,16 @@ def write(df: DataFrame, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """`df` as a written table: lineage ends here and lost executors cost no recomputation."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+    path = write(df, name)
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
+    done.written_at = path
+    return done
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() gave, once what reads them is written."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
