@@ -1,11 +1,13 @@
 """Exact top-k by inner product: columnar branch and bound over blocks of vectors.
 
-Candidates and queries are dealt into blocks of bounded size and each pair of blocks is
-one unit of work. In it the candidates lie column by column. For a query the columns are
-taken block by block, those of the query's largest components first; after each block
-a candidate's score lies within its partial sum plus or minus the product of the norms
-that are left on both sides (Cauchy and Schwarz). Candidates whose upper bound is under
-the k-th best lower bound are dropped and the columns compacted to the survivors.
+Candidates stay where they are. Queries go to them, in parts of bounded size that every
+task gets whole; each part takes one pass over the candidates. A task takes candidates in
+blocks that lie column by column, the columns of the largest components first. For a query
+the columns are taken a few at a time; after each step a candidate's score can't exceed its
+partial sum plus the product of the norms that are left on both sides (Cauchy and Schwarz).
+Candidates whose bound is under the k-th best score that the task has found for the query
+are dropped and the columns compacted to the survivors. Each task gives its k best of a
+query; the best of these are the answer.
 """
 
 from __future__ import annotations
@@ -17,143 +19,171 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import map_arrow
+from .store import map_arrow, materialise
 
-#: Vectors in a block of candidates and of queries, on average.
-CANDIDATES, QUERIES = 4096, 1024
-#: Blocks of candidates are smaller where there would be fewer than tasks, down to this.
+#: Candidates in a block, and queries whose first columns are multiplied at once.
+CANDIDATES, QUERIES = 4096, 256
+#: Bytes of the queries that go to every task at once.
+QUERY_BYTES = 16 << 20
+#: Candidates that a task has at least where there are too few for all tasks.
 LEAST_CANDIDATES = 256
 #: Components taken at once.
 STEP = 16
 #: While more than this share of the candidates is left, they aren't copied.
 COMPACT_BELOW = 0.7
-
-
-def scaled(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component, x as a double; null where the vector is null, or a
-    component null, not finite or too large for a long."""
-    xs = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    fits = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < float(2**62)))
-    return F.when(fits, xs)
-
-
-def _bounds(rest_q: float, rest_x: np.ndarray) -> np.ndarray:
-    """The most that the columns left can add, rounded up."""
-    return np.ceil(rest_q * rest_x * (1 + 1e-9) + 1e-6)
-
-
-def best_of_block(columns: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best of a block for one query, best first, ties to the smaller id.
-
-    `columns`: one row per dimension, one column per candidate, in a type in which the sums
-    are exact. `own` is the query's id, which is no candidate.
-    """
-    order = np.argsort(-np.abs(query), kind="stable")
-    left = np.flatnonzero(ids != own)
-    partial = np.zeros(len(left), columns.dtype)
-    data, at = (columns, None) if len(left) == len(ids) else (columns, left)
-    squares = None
-    for begin in range(0, len(order), step):
-        dims = order[begin : begin + step]
-        block = data[dims] if at is None else data[np.ix_(dims, at)]
-        partial = partial + query[dims] @ block
-        rest = order[begin + step :]
-        if not len(rest) or len(left) <= k:
-            continue
-        if squares is None:
-            squares = (columns.astype(np.float64) ** 2) if at is None else columns[:, at].astype(np.float64) ** 2
-            mass = squares.sum(0)
-            seen = np.zeros_like(mass)
-            seen = seen + squares[order[:begin]].sum(0) if begin else seen
-        seen = seen + squares[dims].sum(0)
-        spread = _bounds(float(np.sqrt((query[rest].astype(np.float64) ** 2).sum())), np.sqrt(np.maximum(mass - seen, 0) + mass * 1e-12))
-        low, high = partial - spread, partial + spread
-        keep = high >= np.partition(low, len(low) - k)[len(low) - k]
-        if keep.sum() < COMPACT_BELOW * len(keep):
-            left, partial, mass, seen = left[keep], partial[keep], mass[keep], seen[keep]
-            data, at, squares = (data[:, keep] if at is None else data[:, at[keep]]), None, squares[:, keep]
-    top = np.lexsort((ids[left], -partial))[:k]
-    return ids[left][top], partial[top]
-
-
-def _pairs(k: int):
-    """Work on the rows of each pair of blocks: candidates (kind 0) before queries (kind 1)."""
-
-    def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        kind = table.column("kind").to_numpy()
-        ids = table.column("id").to_numpy()
-        vectors = table.column("v").combine_chunks()
-        offsets = np.asarray(vectors.offsets)
-        flat = np.asarray(vectors.values.slice(offsets[0], offsets[-1] - offsets[0]))
-        offsets = offsets - offsets[0]
-        n_dims = np.diff(offsets)
-        width = int(n_dims.max(initial=0))
-        if (n_dims == width).all():
-            matrix = flat.reshape(len(ids), width)
-        else:  # shorter vectors end in zeros
-            matrix = np.zeros((len(ids), width), np.int64)
-            for i in range(len(ids)):
-                matrix[i, : n_dims[i]] = flat[offsets[i] : offsets[i + 1]]
-        largest = max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)))
-        if largest * largest * max(width, 1) < 1 << 52:
-            matrix = matrix.astype(np.float64)  # sums of integers below 2^52 are exact
-        columns, candidates = np.ascontiguousarray(matrix[kind == 0].T), ids[kind == 0]
-        q_out, id_out, score_out = [], [], []
-        for i in np.flatnonzero(kind == 1):
-            found, scores = best_of_block(columns, candidates, matrix[i], ids[i], k)
-            q_out.append(np.full(len(found), ids[i]))
-            id_out.append(found)
-            score_out.append(scores.astype(np.int64))
-        if q_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (q_out, id_out, score_out)], names=["query_id", "vec_id", "score"])
+#: Integers below this are exact as doubles, sums included; and the range of scores.
+EXACT, LONGEST = 1 << 52, (1 << 63) - 1
+
+
+def matrix(vectors: pa.Array, width: int, scale: int) -> np.ndarray:
+    """floor(scale * x) of every component, a row for each vector, zeros behind shorter ones. Doubles, or
+    Python's integers where a double would not be exact."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    offsets = np.asarray(vectors.offsets)
+    flat = np.asarray(vectors.values.slice(offsets[0], offsets[-1] - offsets[0]))
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = flat
+    with np.errstate(over="ignore"):
+        scaled = np.floor(out * scale)
+    if np.isfinite(scaled).all():
+        return scaled
+    return np.array([[int(x) * scale if abs(x) > 2**60 else int(np.floor(x * scale)) for x in row] for row in out], object).reshape(out.shape)
+
+
+def _fitting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type in which inner products of their rows are exact."""
+    largest = [max((abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))) for m in (a, b)]
+    if largest[0] * largest[1] * max(1, a.shape[1]) < EXACT:
+        return a.astype(np.float64), b.astype(np.float64)
+    return tuple(np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape) for m in (a, b))
+
+
+class Block:
+    """Candidates column by column, columns of most mass first, and for each step the norms that are left."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, step: int = STEP):
+        self.ids = ids
+        if rows.dtype == object:  # too large for bounds: all at once
+            step = max(1, rows.shape[1])
+            squares = np.zeros(rows.shape)
+        else:
+            squares = rows**2
+        self.order = np.argsort(-squares.sum(0), kind="stable")
+        self.columns = np.ascontiguousarray(rows[:, self.order].T)
+        self.ends = list(range(step, len(self.order), step)) + [len(self.order)]
+        mass = squares[:, self.order]
+        # a little more than what is left, whatever the rounding
+        self.left = [np.sqrt(np.ascontiguousarray(mass[:, e:]).sum(1)) * (1 + 1e-9) for e in self.ends]
+
+    def starts(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries with their components in this block's order, and their scores over the first step."""
+        mine = queries[:, self.order]
+        return mine, mine[:, : self.ends[0]] @ self.columns[: self.ends[0]] if len(self.order) else np.zeros((len(mine), len(self.ids)), mine.dtype)
+
+    def best(self, query: np.ndarray, partial: np.ndarray, own: int, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of candidates among which are the k best of one query, its own id's left out.
+        `least`: the k-th best score known so far, if there are as many."""
+        left = np.flatnonzero(self.ids != own)
+        whole = len(left) == len(self.ids)
+        partial, data = (partial, self.columns) if whole else (partial[left], self.columns[:, left])
+        for i, end in enumerate(self.ends):
+            if i:
+                partial = partial + query[self.ends[i - 1] : end] @ data[self.ends[i - 1] : end]
+            if end == len(query) or len(left) <= k:
+                continue
+            spread = np.ceil(np.sqrt((query[end:] ** 2).sum()) * (1 + 1e-9) * self.left[i][left] + 1e-6)
+            bound = least
+            if bound is None:
+                bound = np.partition(partial - spread, len(left) - k)[len(left) - k]
+            keep = partial + spread >= bound
+            if keep.sum() < COMPACT_BELOW * len(keep):
+                left, partial, data = left[keep], partial[keep], data[:, keep]
+        if partial.dtype == object:
+            partial = np.array([max(-LONGEST - 1, min(LONGEST, x)) for x in partial], object)
+        return self.ids[left], partial
+
+
+def first_k(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k of largest score, ties to the smaller id."""
+    if scores.dtype == object:
+        top = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+        return ids[top], scores[top]
+    if len(ids) > k:
+        enough = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[enough], scores[enough]
+    top = np.lexsort((ids, -scores))[:k]
+    return ids[top], scores[top]
+
+
+def _search(part, width: int, k: int, scale: int):
+    """Each query's k best of a task's candidates."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+        query_ids, flat = part.value
+        queries = matrix(flat, width, scale)
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+
+        def take(rows: np.ndarray, ids: np.ndarray) -> None:
+            rows, asking = _fitting(rows, queries)
+            block = Block(rows, ids)
+            for begin in range(0, len(query_ids), QUERIES):
+                mine, partial = block.starts(asking[begin : begin + QUERIES])
+                for j in range(len(mine)):
+                    q = begin + j
+                    had_ids, had = found[q]
+                    more_ids, more = block.best(mine[j], partial[j], query_ids[q], k, had[-1] if len(had) == k else None)
+                    found[q] = first_k(np.concatenate([had_ids, more_ids]), np.concatenate([had, more]), k)
+
+        full = max(1, min(CANDIDATES, QUERY_BYTES // (8 * max(1, width))))
+        held, n = [], 0
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if now is not None and keys[a] != now:
-                    yield from work(held)
-                    held = []
-                now = keys[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from work(held)
+            held.append(batch)
+            n += batch.num_rows
+            if n >= full:
+                table = pa.Table.from_batches(held)
+                take(matrix(table.column(1), width, scale), table.column(0).to_numpy())
+                held, n = [], 0
+        if n:
+            table = pa.Table.from_batches(held)
+            take(matrix(table.column(1), width, scale), table.column(0).to_numpy())
+        sizes = [len(ids) for ids, _ in found]
+        if sum(sizes):
+            scores = [int(s) for _, all_ in found for s in all_.tolist()]
+            columns = (np.repeat(query_ids, sizes), np.concatenate([ids for ids, _ in found]), scores)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return apply
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024, repeats: bool = False) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k candidates of largest integer
     inner product of the scaled vectors, ties to the smaller id; all where there are fewer.
 
     Candidates are all rows but those of the query's own id. Null vectors, null ids and
     vectors with a null or non-finite component take no part; shorter vectors count as
-    ending in zeros. Rows with equal vectors are separate candidates; of rows with one id
-    the smallest vector counts, or with `repeats` each is a candidate and a query of its own, and
-    an id's queries share its ranks. Scores are exact as long as they fit a long. Columns besides the two are read only by `is_query`.
+    ending in zeros. Every row is a candidate of its own, also where ids or vectors are
+    equal; query rows of one id share its ranks. Scores are exact; those beyond a long's
+    range count as its ends. Columns besides the two are read only by `is_query`.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"), is_query.alias("asks"))
-    rows = rows.where("v IS NOT NULL AND id IS NOT NULL")
-    if repeats:  # of equal rows k at most can be among the k best
-        rows = rows.groupBy("id", "v", "asks").agg(F.count("*").alias("n")).select(F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(k)).cast("int"))), "id", "v", "asks").drop("col")
-    else:
-        rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & good)
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
+    candidates = rows.select("id", "v")
+    n, width, asking = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if("asks")).first()
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c_blocks = max(1, -(-n["n"] // CANDIDATES), min(tasks, n["n"] // LEAST_CANDIDATES))
-    q_blocks = max(1, -(-n["q"] // QUERIES))
-    h = F.xxhash64("id", "v") if repeats else F.xxhash64("id")
-    c_of, q_of = F.pmod(h, F.lit(c_blocks)), F.pmod(F.shiftright(h, 20), F.lit(q_blocks))
-    pair = lambda c, q: (c * q_blocks + q).alias("pair")
-    candidates = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), c_of.alias("c"), "id", "v")
-    queries = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), q_of.alias("q"), "id", "v")
-    units = candidates.select(pair(F.col("c"), F.col("q")), F.lit(0).alias("kind"), "id", "v").unionByName(queries.select(pair(F.col("c"), F.col("q")), F.lit(1).alias("kind"), "id", "v"))
-    found = map_arrow(units.repartition("pair").sortWithinPartitions("pair", "kind"), _pairs(k), "query_id long, vec_id long, score long")
+    tasks = max(1, min(tasks, n // LEAST_CANDIDATES))
+    if candidates.rdd.getNumPartitions() < tasks:
+        candidates = materialise(candidates.repartition(tasks), "candidates")
+
+    parts = max(1, -(-asking * 8 * max(1, width) // QUERY_BYTES))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    queries = materialise(rows.where("asks").select("id", "v", part.alias("part")), "queries")
+    found = None
+    for p in range(parts):
+        own = queries.where(F.col("part") == p).select("id", "v").toArrow()
+        told = df.sparkSession.sparkContext.broadcast((own.column(0).to_numpy(), own.column(1).combine_chunks()))
+        here = map_arrow(candidates, _search(told, width, k, scale), "query_id long, vec_id long, score long")
+        found = here if found is None else found.unionByName(here)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,14 +9,10 @@ from ordertide.llm import op4, topk
 
 
 def brute(rows, asks, k, scale=1024):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            own = [math.floor(scale * x) for x in v]
-            seen[i] = min(own, seen.get(i, own))
-    out = []
-    for q in filter(asks, seen):
-        scored = sorted((-sum(a * b for a, b in zip(seen[q], v)), i) for i, v in seen.items() if i != q)
+    good = [(i, [math.floor(scale * x) if abs(x) < 2**60 else scale * int(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out, longest = [], 2**63 - 1
+    for q in sorted({i for i, _ in good if asks(i)}):
+        scored = sorted((-max(-longest - 1, min(longest, sum(a * b for a, b in zip(x, v)))), i) for p, x in good if p == q for i, v in good if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -38,6 +34,8 @@ def vectors(seed, n, d):
 def test_against_all_pairs(spark, monkeypatch, c, q, d):
     monkeypatch.setattr(topk, "CANDIDATES", c)
     monkeypatch.setattr(topk, "QUERIES", q)
+    monkeypatch.setattr(topk, "QUERY_BYTES", q * 400)
+    monkeypatch.setattr(topk, "LEAST_CANDIDATES", q)
     rows = vectors(d, 150, d)
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
     assert rows_of(topk.top_k(df, F.col("vec_id") % 15 == 0, 7)) == brute(rows, lambda i: i % 15 == 0, 7)
@@ -50,14 +48,25 @@ def test_odd_rows(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).collect() == []
 
 
-def test_bounds_drop_candidates():
+def test_large_components(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1, 1]) * 10.0 ** rng.choice([0, 3, 9, 15, 17]) for _ in range(3)]) for i in range(30)] + [(90, [1e306, 0.0, 0.0]), (91, [-1e307, 1.0, 1.0]), (92, [1e17] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert rows_of(topk.top_k(df, F.col("vec_id") % 5 == 0, 40)) == brute(rows, lambda i: i % 5 == 0, 40)
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_bounds_drop_candidates(known):
     rng = np.random.default_rng(1)
-    columns = np.floor(1024 * rng.normal(size=(64, 4000)) * np.linspace(2, 0.01, 64)[:, None])
+    rows = np.floor(1024 * rng.normal(size=(4000, 64)) * np.linspace(0.01, 2, 64))
     ids = np.arange(4000)
+    block = topk.Block(rows, ids)
+    mine, partial = block.starts(rows[:5])
     for q in range(5):
-        got = topk.best_of_block(columns, ids, columns[:, q], q, 10)
-        scores = columns[:, q] @ columns
-        want = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:10]
+        want = sorted((-s, i) for i, s in enumerate(rows @ rows[q]) if i != q)[:10]
+        left = block.best(mine[q], partial[q], q, 10, -want[-1][0] if known else None)
+        assert len(left[0]) < 2000
+        got = topk.first_k(*left, 10)
         assert list(zip(-got[1], got[0])) == want
 
 
