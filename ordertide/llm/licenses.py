@@ -1,14 +1,20 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text is brought to its words (A-Z in lower case, each word between single spaces).
-Rules are regular expressions over that form, each with a priority and a keyword: a rule
-runs only where its keyword occurs, and texts without any gate word run none. Detections
-are intervals of words. One that lies inside an interval of higher priority, or of equal
-priority and greater length, or of equal interval and an earlier rule, is suppressed.
+Rules are regular expressions over that form, each with a priority and keywords: a rule
+runs only where one of its keywords occurs, and texts without any gate word run none.
+Detections are intervals of words. One that lies inside an interval of higher priority, or
+of equal priority and greater length, or of equal interval and an earlier rule, is
+suppressed: a sweep over the sorted intervals keeps how far those of each priority reach.
+
+Matches are marked in the text, whose words then tell their numbers, so the work grows with
+the words and not with the matches times themselves.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +25,7 @@ class Rule(NamedTuple):
     label: str
     priority: int
     score: float
-    key: str
+    keys: tuple[str, ...]
     pattern: str  # over words between single spaces; it takes the space before its first word
 
 
@@ -97,6 +103,23 @@ LICENSES = (
     ("zpl-2.1", "zpl 2 1", r"zope public", "zpl 2 1"),
 )
 
+#: Words of which each form of a license's name holds one.
+NAME_KEYS = {
+    "0bsd": ("bsd",), "afl-3.0": ("academic free",), "agpl-3.0": ("affero",), "apache-1.1": ("apache",), "apache-2.0": ("apache",), "artistic-1.0": ("artistic",),
+    "artistic-2.0": ("artistic",), "blueoak-1.0.0": ("blue oak",), "bsd-1-clause": ("bsd",), "bsd-2-clause": ("bsd",), "bsd-3-clause": ("bsd",), "bsd-4-clause": ("bsd",),
+    "bsl-1.0": ("boost software",), "bsl-1.1": ("business source",), "cc-by-3.0": ("cc by", "creative commons"), "cc-by-4.0": ("cc by", "creative commons"),
+    "cc-by-nc": ("cc by", "creative commons"), "cc-by-nc-nd": ("cc by", "creative commons"), "cc-by-nc-sa": ("cc by", "creative commons"), "cc-by-nd": ("cc by", "creative commons"),
+    "cc-by-sa": ("cc by", "creative commons"), "cc0-1.0": ("cc0", "creative commons"), "cddl-1.0": ("common development",), "cecill-2.1": ("cecill",), "cpl-1.0": ("common public",),
+    "ecl-2.0": ("educational community",), "epl-1.0": ("eclipse public",), "epl-2.0": ("eclipse public",), "eupl-1.2": ("european union",), "gfdl-1.3": ("free documentation",),
+    "gpl-1.0": ("general public",), "gpl-2.0": ("general public", "gpl"), "gpl-3.0": ("general public", "gpl"), "hpnd": ("historical permission",), "isc": ("isc",),
+    "lgpl-2.1": ("general public",), "lgpl-3.0": ("general public",), "lppl-1.3c": ("latex project",), "mit": ("mit", "expat"), "mit-0": ("mit no attribution",),
+    "mpl-1.1": ("mozilla public",), "mpl-2.0": ("mozilla public",), "ms-pl": ("microsoft public",), "ms-rl": ("microsoft reciprocal",), "mulanpsl-2.0": ("mulan psl",),
+    "ncsa": ("university of illinois", "ncsa"), "odbl-1.0": ("open database",), "odc-by-1.0": ("open data commons",), "ofl-1.1": ("open font",), "openssl": ("openssl",),
+    "osl-3.0": ("open software",), "php-3.01": ("php",), "postgresql": ("postgresql",), "psf-2.0": ("python software",), "python-2.0": ("python",), "qpl-1.0": ("q public",),
+    "ruby": ("ruby",), "sspl-1.0": ("server side public",), "unicode-dfs": ("unicode",), "unlicense": ("the unlicense",), "upl-1.0": ("universal permissive",), "vim": ("vim",),
+    "w3c": ("w3c software",), "wtfpl": ("want to public",), "x11": ("x11",), "zlib": ("zlib",), "zpl-2.1": ("zope public",),
+}
+
 #: Sentences of the licenses' own texts: label, keyword, pattern.
 SENTENCES = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -142,40 +165,71 @@ def rules() -> list[Rule]:
     """All rules in order: for each license its tag, its page, its grant and its name, then the sentences."""
     made = []
     for label, tag, name, page in LICENSES:
-        made.append(Rule(label, 5, 1.0, "spdx", rf" spdx license identifier {tag}(?= )"))
-        made.append(Rule(label, 4, 0.9, "opensource org", rf" opensource org licenses? {page}(?: php| html)?(?= )"))
-        made.append(Rule(label, 3, 0.9, "licensed under", rf" licensed under (?:an? |the )?(?:terms of the )?{name}(?: licen[sc]e)?(?= )"))
-        made.append(Rule(label, 2, 0.7, "licen", rf" {name}(?: licen[sc]e|(?<=licen[sc]e|licen[sc]e [0-9]|licen[sc]e [0-9] [0-9]|licen[sc]e version [0-9]|licen[sc]e version [0-9] [0-9]))(?= )"))
-    made += [Rule(label, 4, 0.8, key, rf" {pattern}(?= )") for label, key, pattern in SENTENCES]
-    made += [Rule(label, 1, 0.5, "cc by", rf" {name}(?= )") for label, _, name, _ in LICENSES if name.startswith("(?:cc by")]
+        keys = NAME_KEYS[label]
+        made.append(Rule(label, 5, 1.0, ("spdx",), rf"spdx license identifier {tag}"))
+        made.append(Rule(label, 4, 0.9, ("opensource org",), rf"opensource org licenses? {page}(?: php| html)?"))
+        made.append(Rule(label, 3, 0.9, keys, rf"licensed under (?:an? |the )?(?:terms of the )?{name}(?: licen[sc]e)?"))
+        made.append(Rule(label, 2, 0.7, keys, rf"{name}(?: licen[sc]e|(?<=licen[sc]e|licen[sc]e [0-9]|licen[sc]e [0-9] [0-9]|licen[sc]e version [0-9]|licen[sc]e version [0-9] [0-9]))"))
+    made += [Rule(label, 4, 0.8, (key,), pattern) for label, key, pattern in SENTENCES]
+    made += [Rule(label, 1, 0.5, ("cc by",), name) for label, _, name, _ in LICENSES if name.startswith("(?:cc by")]
     return made
 
 
-def _spaces(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+#: Marks of a match's begin and end; separators of words hold them, so no word does.
+_BEGIN, _END = "\x01", "\x02"
+_RULE = "label string, priority int, score double, keys array<string>, pattern string, number int"
+PRIORITIES = 5
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _spans(norm: Column, pattern: Column) -> Column:
     """Intervals of words (start, end) where the pattern matches, left to right."""
-    whole = F.concat(F.lit(r"(?s)\G(.*?)("), pattern, F.lit(")"))
-    part = lambda i: F.regexp_extract_all(norm, whole, F.lit(i))
-    steps = F.zip_with(part(1), part(2), lambda gap, hit: F.struct(_spaces(gap).alias("gap"), _spaces(hit).alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    marked = F.regexp_replace(norm, F.concat(F.lit("(?s) ("), pattern, F.lit(")(?= )")), F.lit(f" {_BEGIN}$1{_END}"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        return F.struct((start + x["hit"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("end")))).alias("out"))
+    def pairs(words: Column) -> Column:
+        at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)), lambda i: i.isNotNull())
+        return F.zip_with(at(_BEGIN), at(_END), lambda a, b: F.struct((a - 1).alias("start"), b.alias("end")))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    # texts without a match aren't taken apart
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return _let(marked, lambda m: F.when(F.contains(m, F.lit(_BEGIN)), _let(F.split(m, " ", -1), pairs)).otherwise(none))
 
 
 def _survivors(found: Column) -> Column:
-    def hidden(d: Column, e: Column) -> Column:
-        inside = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-        longer, equal = (e["end"] - e["start"]) > (d["end"] - d["start"]), (e["end"] == d["end"]) & (e["start"] == d["start"])
-        return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (equal & (e["number"] < d["number"])))))
+    """Detections that no other one suppresses, in the order of their places.
+
+    In the order of start, descending end, descending priority and number, what suppresses a
+    detection comes before it, so it is hidden if one of its priority or a higher one has reached
+    its end. Survivors are put together in runs, as appending to one array copies it each time.
+    """
+    row = lambda d: F.struct(
+        d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("low"), d["number"].alias("number"), d.alias("d")
+    )
+    return _let(F.transform(F.array_sort(F.transform(found, row)), lambda x: x["d"]), _swept)
+
+
+def _swept(found: Column) -> Column:
+    """Those of the ordered detections that none before suppresses."""
+    size = F.greatest(F.lit(16), F.ceil(F.cbrt(2 * F.size(found))).cast("int"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int")), lambda r: F.slice(found, (r * size + 1).cast("int"), size))
+    reach = F.array_repeat(F.lit(-1), PRIORITIES)  # by priority, how far detections of it or a higher one go
+    none = F.filter(found, lambda d: F.lit(False))
+
+    def step(acc: Column, d: Column) -> Column:
+        further = F.transform(acc["reach"], lambda x, i: F.when(i < d["priority"], F.greatest(x, d["end"])).otherwise(x))
+        seen = F.element_at(acc["reach"], d["priority"]) >= d["end"]
+        return F.struct(further.alias("reach"), F.when(seen, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"))
+
+    def of_run(acc: Column, run: Column) -> Column:
+        done = F.aggregate(run, F.struct(acc["reach"].alias("reach"), none.alias("out")), step)
+        return F.struct(done["reach"].alias("reach"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: hidden(d, e)))
+    swept = F.aggregate(runs, F.struct(reach.alias("reach"), F.slice(F.array(found), 1, 0).alias("out")), of_run)["out"]
+    return F.when(F.size(found) > 1, F.flatten(swept)).otherwise(found)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -199,15 +253,17 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.col("_norm")
 
     def of_phrase(phrase: str, label: str) -> Column:
-        return F.transform(_spans(n, F.lit(f" {phrase}(?= )")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label")))
+        return F.transform(_spans(n, F.lit(phrase)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label")))
 
     base = F.flatten(F.array(*(of_phrase(*b) for b in BASE)))
-    book = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.key).alias("key"), F.lit(r.pattern).alias("pattern"), F.lit(i).alias("number")) for i, r in enumerate(rules())))
+    book = F.from_json(F.lit(json.dumps([r._asdict() | {"number": i} for i, r in enumerate(rules())])), f"array<struct<{_RULE.replace(' ', ':').replace(',:', ',')}>>")
+    keys = F.from_json(F.lit(json.dumps(sorted({k for r in rules() for k in r.keys}))), "array<string>")
+    present = F.filter(keys, lambda k: F.contains(n, k))
 
     def of_rule(r: Column) -> Column:
         return F.transform(_spans(n, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), r["number"].alias("number")))
 
-    found = F.flatten(F.transform(F.filter(book, lambda r: F.contains(n, r["key"])), of_rule))
+    found = F.flatten(_let(present, lambda p: F.transform(F.filter(book, lambda r: F.arrays_overlap(r["keys"], p)), of_rule)))
     rows = rows.withColumn("base", F.when(n.isNotNull(), base)).withColumn("found", F.when(n.isNotNull(), found)).drop("_norm")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
     return rows.withColumn("base", empty("base")).withColumn("found", empty("found")).withColumn("kept", _survivors(F.col("found")))
