@@ -59,19 +59,15 @@ _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 
 class Node:
-    __slots__ = ("around", "children", "features", "kind", "links", "names", "parent", "parts", "size", "tag")
+    __slots__ = ("children", "features", "kind", "links", "names", "near", "parent", "parts", "says", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple[str, ...] = ()):
         self.tag, self.parent, self.names = tag, parent, names
         self.children: list[Node] = []
         self.parts: list[str] | None = None
         self.size = self.links = 0
-        # what elements around say they are, the nearest last
-        self.around: tuple[tuple[Node, tuple[str, ...]], ...] = ()
         if parent is not None:
             parent.children.append(self)
-            told = parent.names + ((parent.tag,) if parent.tag in TELLING else ())
-            self.around = (*parent.around, (parent, told)) if told else parent.around
 
 
 def _named(attributes: str) -> tuple[str, ...]:
@@ -91,6 +87,10 @@ def parse(html: str) -> Node:
     stack: list[tuple[str, Node, bool, bool]] = [("#root", root, False, False)]  # tag, block, hidden, link
     piece: Node | None = None
     at = 0
+    # what is open, so that no tag looks through the stack in vain
+    blocks_at = [0]  # places of blocks in the stack
+    open_blocks: Counter[str] = Counter()
+    inline: list[Counter[str]] = [Counter()]  # other elements, since each of these blocks
 
     def text(raw: str) -> None:
         nonlocal piece
@@ -111,8 +111,14 @@ def parse(html: str) -> Node:
 
     def close_to(k: int) -> None:
         nonlocal piece
-        if any(x[0] in BLOCKS for x in stack[k:]):
-            piece = None
+        for name, *_ in reversed(stack[k:]):
+            if name in BLOCKS:
+                piece = None
+                open_blocks[name] -= 1
+                blocks_at.pop()
+                inline.pop()
+            else:
+                inline[-1][name] -= 1
         del stack[k:]
 
     while True:
@@ -133,16 +139,10 @@ def parse(html: str) -> Node:
             if name == "br":
                 text(" ")
             elif name in HEADINGS:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in HEADINGS), 0)
-                if k:
-                    close_to(k)
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close_to(k)
-                        break
-                    if stack[k][0] in BLOCKS and name not in BLOCKS:
-                        break
+                if any(open_blocks[h] for h in HEADINGS):
+                    close_to(next(k for k in reversed(blocks_at) if stack[k][0] in HEADINGS))
+            elif open_blocks[name] if name in BLOCKS else inline[-1][name]:
+                close_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
             continue
         if name in RAW:
             end = _RAW_END[name].search(html, at)
@@ -158,14 +158,14 @@ def parse(html: str) -> Node:
             piece = None
             if name in ENDS:
                 ended, stops = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in reversed(blocks_at) if any(open_blocks[e] for e in ended) else ():
                     if stack[k][0] in stops:
                         break
                     if stack[k][0] in ended and (k == 1 or stack[k - 1][0] not in ended):
                         close_to(k)
                         break
             else:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
+                k = blocks_at[-1]
                 if k and (stack[k][0] == "p" or (name in HEADINGS and stack[k][0] in HEADINGS)):
                     close_to(k)
         # head shows nothing of its own, and what isn't head content ends it, </head> or not: it is no element here
@@ -174,6 +174,11 @@ def parse(html: str) -> Node:
         tag, block, hidden, link = stack[-1]
         if is_block:
             block = Node(name, block, _named(m[3] or ""))
+            blocks_at.append(len(stack))
+            open_blocks[name] += 1
+            inline.append(Counter())
+        else:
+            inline[-1][name] += 1
         stack.append((name, block, hidden or name in HIDDEN, link or name == "a"))
 
 
@@ -192,19 +197,28 @@ def flat(root: Node) -> list[Node]:
         node.kind = "text" if node.parts is not None else node.tag if node.tag in ("p", "li", "td", "div") else "head" if node.tag in HEADINGS else "block"
         if node.parent is None or node.parent.tag in ("#root", "html", "body"):
             node.kind = "top"
-        node.features = _features(node, root.size)
+        told = node.names + ((node.tag,) if node.tag in TELLING else ())
+        # a part that holds most of the page's text isn't what its name says
+        share = "most" if 2 * node.size > root.size else "some" if 5 * node.size > root.size else "little"
+        node.says = [f"around {n} {share}" for n in told]
+        node.near = [f"near {n} {share}" for n in told] or (node.parent.near if node.parent is not None else ["near none"])
+        node.features = _features(node)
+    return out
+
+
+def all_features(node: Node) -> list[str]:
+    """The node's own features, and what each element around it says of itself."""
+    out, kind = list(node.features), "text " if node.parts is not None else ""
+    while node.parent is not None:
+        node = node.parent
+        out += [kind + x for x in node.says]
     return out
 
 
-def _features(node: Node, whole: int) -> list[str]:
+def _features(node: Node) -> list[str]:
     density = min(3, int(4 * node.links / node.size)) if node.size else 4
     size = min(9, node.size.bit_length())
-    place = []
-    for around, told in node.around:
-        # a part that holds most of the page's text isn't what its name says
-        share = "most" if 2 * around.size > whole else "some" if 5 * around.size > whole else "little"
-        place += [f"around {n} {share}" for n in told]
-    place += [f"near {n} {share}" for n in told] if node.around else ["near none"]
+    place = node.parent.near if node.parent is not None else ["near none"]
     if node.parts is None:
         out = [*place, f"tag {node.tag}", f"size {size}", f"links {density}", f"links {density} size {size // 2}"]
         out += [f"name {n}" for n in node.names] or ["name none"]
@@ -235,7 +249,13 @@ def marginals(nodes: list[Node], model: Model) -> list[float]:
     """Log odds of being content for each node (parents before children), by exact sum-product."""
     index = {id(n): k for k, n in enumerate(nodes)}
     w, bias = model.weights, model.bias
-    own = [bias + sum([w.get(f, 0.0) for f in n.features]) for n in nodes]
+    said = [(0.0, 0.0)] * len(nodes)  # what the elements around say, for elements and for text
+    own = []
+    for k, n in enumerate(nodes):
+        if n.parent is not None:
+            a, b = said[index[id(n.parent)]]
+            said[k] = (a + sum([w.get(f, 0.0) for f in n.parent.says]), b + sum([w.get(f"text {f}", 0.0) for f in n.parent.says])) if n.parent.says else (a, b)
+        own.append(bias + said[k][n.parts is not None] + sum([w.get(f, 0.0) for f in n.features]))
     up = own[:]  # with all messages from below
     sent = [0.0] * len(nodes)
     for k in range(len(nodes) - 1, 0, -1):
@@ -263,7 +283,7 @@ def train(labelled: Iterator[str] | None = None, rounds: int = 300, rate: float
             y = label[id(n)]
             if y is None:
                 continue
-            rows.append(n.features)
+            rows.append(all_features(n))
             labels.append(y)
             if n.parent is not None and label[id(n.parent)] is not None:
                 joint.setdefault(n.kind, Counter())[label[id(n.parent)], y] += 1

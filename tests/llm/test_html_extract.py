@@ -2,6 +2,7 @@ import html as html_lib
 import itertools
 import math
 import re
+import time
 
 import pytest
 
@@ -31,7 +32,7 @@ def test_messages_give_the_exact_marginals(model):
     for labels in itertools.product((0, 1), repeat=len(nodes)):
         score = 0.0
         for k, n in enumerate(nodes):
-            score += labels[k] * (model.bias + sum(model.weights.get(f, 0.0) for f in n.features))
+            score += labels[k] * (model.bias + sum(model.weights.get(f, 0.0) for f in H.all_features(n)))
             if n.parent is not None:
                 score += model.pairs[n.kind][2 * labels[at[id(n.parent)]] + labels[k]]
         total += math.exp(score)
@@ -115,6 +116,43 @@ def test_long_page(model):
     assert H.extract(page, model).count("\n") >= 19_999
 
 
+DEEP = {
+    "named blocks": lambda n: "<div class=content>" * n + "x",
+    "end tags of nothing": lambda n: "<div>" * n + "</section></b></h2><p>x" * n,
+    "open inline elements": lambda n: "<i>" * n + "<div>x</div></b>" * n,
+    "inline ends behind a block": lambda n: "<b>" * n + "<div>" + "<i>x</b>" * n,
+    "items": lambda n: "<ul>" + "<div>" * n + "<li>x" * n,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_deep_pages(model, name):
+    """Four times the nesting takes about four times as long, not sixteen."""
+
+    def taken(n):
+        page, began = DEEP[name](n), time.perf_counter()
+        H.extract(page, model)
+        return time.perf_counter() - began
+
+    few = min(taken(2000) for _ in range(2))
+    assert min(taken(8000) for _ in range(2)) < 9 * max(few, 0.01)
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div>a</section>b</div>c", ["ab", "c"]),
+        ("<b>a<div>b</b>c</div>d", ["a", "bc", "d"]),
+        ("<ul><li>a<div>b<li>c</ul>d", ["a", "b", "c", "d"]),
+        ("<h1>a</h2>b", ["a", "b"]),
+        ("<div><i>a<div>b</div></i>c</div></i>d", ["a", "b", "c", "d"]),
+        ("<table><tr><td>a<td><div>b<table><tr><td>c</table>d<tr><td>e</table>", ["a", "b", "c", "d", "e"]),
+    ],
+)
+def test_odd_ends(html, want):
+    assert text_of(html) == want
+
+
 def test_frames(spark, model):
     rows = [(1, "u", None, "old"), (2, None, "", "old"), (3, "v", "<nav><a href=x>Home</a></nav>", "old")] + [(9, "w", "<article><h1>Title here</h1><p>First sentence is here, and it goes on.</p></article>", "old")] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
