@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ordertide.tables import materialise, new_path, remove, shared_dir, table, write
+from ordertide.tables import discard, materialise, new_path, remove, shared_dir, table, write
 
 #: Bytes in a batch between the JVM and Python. Spark's default of 64 MB is held several times over
 #: in each task, outside of the heap.
@@ -16,9 +16,10 @@ _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def map_arrow(df: DataFrame, work: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow() in batches of ARROW_BYTES or one row; the session keeps that limit."""
+    """df.mapInArrow() in batches of ARROW_BYTES or one row. The session keeps that limit: Spark reads it
+    when the plan is made, which for a frame that is returned is after this call."""
     df.sparkSession.conf.set(_SETTING, f"{ARROW_BYTES}b")
     return df.mapInArrow(work, schema)
 
 
-__all__ = ["map_arrow", "materialise", "new_path", "remove", "shared_dir", "table", "write"]
+__all__ = ["discard", "map_arrow", "materialise", "new_path", "remove", "shared_dir", "table", "write"]

@@ -10,6 +10,8 @@ write_files and read_files move records to and from plain .warc files.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import map_arrow, materialise, new_path
+from .store import map_arrow, materialise, new_path, remove
 
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 0
@@ -56,14 +58,19 @@ def _one_line(c: Column) -> Column:
 
 @dataclass
 class Archive:
-    """Where the two tables are; `payloads` is a bucketed table of the session's catalog."""
+    """Where the two tables are; `payloads` is a bucketed table of the session's catalog, whose files lie
+    in the shared folder. Both go when the driver's Python ends, or with drop()."""
 
     spark: SparkSession
     payloads: str
     headers: str
+    files: str
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.payloads}")
+        with contextlib.suppress(Exception):  # at interpreter exit the session may be gone already
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.payloads}")
+        remove(self.spark, self.files)
+        remove(self.spark, self.headers)
 
 
 def classify(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -123,9 +130,11 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).dropDuplicates(["sha256"])
-    name = f"warc_payloads_{uuid.uuid4().hex}"
-    once.repartition(buckets, "sha256").write.bucketBy(buckets, "sha256").format("parquet").saveAsTable(name)
-    return Archive(spark, name, headers)
+    name, files = f"warc_payloads_{uuid.uuid4().hex}", new_path(spark, "warc-payloads")
+    once.repartition(buckets, "sha256").write.bucketBy(buckets, "sha256").format("parquet").option("path", files).saveAsTable(name)
+    archive = Archive(spark, name, headers, files)
+    atexit.register(archive.drop)
+    return archive
 
 
 def stored(archive: Archive) -> DataFrame:
@@ -170,19 +179,30 @@ def parsed(recs: DataFrame) -> DataFrame:
     )
 
 
+def taken_apart(whole: DataFrame) -> DataFrame:
+    """(header, block) of whole records: cut behind the first empty line, and by the Content-Length that
+    the header names. A record without one, or of other length, fails the job."""
+    # one character for each byte, so that places are places of bytes
+    ends = whole.withColumn("_end", F.instr(F.decode("record", "ISO-8859-1"), CRLF * 2) + 3)
+    heads = ends.withColumn("header", F.expr("substring(record, 1, _end)"))
+    sized = heads.withColumn("_n", field("Content-Length", F.decode("header", "ISO-8859-1")).cast("int"))
+    fits = (F.col("_end") > 3) & F.coalesce(F.octet_length("record") == F.col("_end") + F.col("_n") + 4, F.lit(False))
+    block = F.when(fits, F.expr("substring(record, _end + 1, _n)")).otherwise(F.raise_error(F.lit("a WARC record isn't as long as it says")).cast("binary"))
+    return sized.select("header", block.alias("block"))
+
+
 def read_archive(archive: Archive) -> DataFrame:
     """One row per record: page_id, url, record_type, refers_to, payload_bytes, payload_digest,
     the latter two of the stored bytes; a header that says otherwise fails the job.
 
     The response records are put together whole, header and payload, by the join on
-    buckets and taken apart; revisits carry no payload of their own, and only the
+    buckets and taken apart by what they say themselves; revisits carry no payload of their own, and only the
     digest and length of the response that they refer to are joined to them.
     """
     heads = archive.spark.read.parquet(archive.headers)
     table = stored(archive)
-    whole = heads.where("record_type = 'response'").join(table, "sha256").withColumn("record", F.concat("header", "payload", F.encode(F.lit(CRLF * 2), "UTF-8")))
-    body = F.expr("substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4)")
-    responses = whole.select("header", body.alias("block")).select("header", F.octet_length("block").cast("long").alias("bytes"), base32_sha1(F.col("block")).alias("sha1"))
+    whole = heads.where("record_type = 'response'").join(table, "sha256").select(F.concat("header", "payload", F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
+    responses = taken_apart(whole).select("header", F.octet_length("block").cast("long").alias("bytes"), base32_sha1(F.col("block")).alias("sha1"))
     digests = table.select("sha256", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1"))
     revisits = heads.where("record_type = 'revisit'").join(materialise(digests, "warc-digests"), "sha256").select("header", "bytes", "sha1")
     back = parsed(responses.unionByName(revisits))

@@ -47,7 +47,7 @@ def test_files_hold_the_same_records(spark, tmp_path):
 def test_damage_is_noticed(spark):
     archive = warc.write_archive(spark.createDataFrame(ROWS[:2], "page_id long, url string, html string"))
     bad = spark.createDataFrame([(hashlib.sha256(b"same").hexdigest(), b"sane")], "sha256 string, payload binary")
-    archive.drop()
+    spark.sql(f"DROP TABLE {archive.payloads}")
     bad.write.bucketBy(4, "sha256").saveAsTable(archive.payloads)
     with pytest.raises(Exception, match="doesn't match its digest"):
         warc.read_archive(archive).collect()
@@ -67,3 +67,13 @@ def test_query_and_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert rows_of(op3.query(spark, sf)) == sorted(con.sql(op3.SQL).fetchall(), key=str)
+
+
+def test_records_say_their_length(spark):
+    schema = "record binary"
+    good = b"WARC/1.1\r\nContent-Length: 9\r\n\r\na\r\n\r\n\xff\x00bc\r\n\r\n"
+    got = warc.taken_apart(spark.createDataFrame([(bytearray(good),)], schema)).first()
+    assert bytes(got.block) == b"a\r\n\r\n\xff\x00bc" and bytes(got.header).endswith(b": 9\r\n\r\n")
+    for bad in (good.replace(b": 9", b": 8"), good.replace(b"Length", b"Size"), b"WARC/1.1\r\n"):
+        with pytest.raises(Exception, match="isn't as long"):
+            warc.taken_apart(spark.createDataFrame([(bytearray(bad),)], schema)).collect()
