@@ -74,7 +74,7 @@ def mix(
 
     `total` is the number of documents wanted, by default as many as there are. Counts
     depend on the id alone, so repeated rows (and null ids, among themselves) have equal
-    counts. Null sources are mixed as a source of their own; `copy` and `place` replace
+    counts; rows without an id are dealt by their other columns. Null sources are mixed as a source of their own; `copy` and `place` replace
     columns of that name; no rows give none.
     """
     table, n = rates(docs, source, weights, total)
@@ -90,7 +90,9 @@ def mix(
     count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
     copies = joined.withColumn("_mix_count", count).where("_mix_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
     placed = copies.select(*cols, copy, _hashed(15, seed, "place", F.col(id_col), F.col(copy)).alias(place))
-    return placed.repartition(F.col(place)).sortWithinPartitions(place, id_col)
+    # rows without an id share a place for each copy, which is to be no hot key
+    apart = [c for c, kind in placed.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
+    return placed.repartition(F.col(place), F.when(F.col(id_col).isNull(), F.xxhash64(*apart))).sortWithinPartitions(place, id_col)
 
 
 def mix_sql(documents: str = "documents", seed: str = "mix") -> str:

@@ -78,3 +78,14 @@ def test_sql_agrees(spark):
     cols = sorted(got.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in got.select(*cols).collect()), key=key) == sorted(want.select(*cols).fetchall(), key=key)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.createDataFrame([(None, f"t{i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mixing.mix(df.unionByName(spark.createDataFrame([(1, "x", "s")], df.schema)), total=6000)
+        sizes = [len(p) for p in out.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) > 2000 and max(sizes) < 0.6 * sum(sizes)
