@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     now, mark = written(tidy(ends))
+    first = now
     nodes = now.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     while True:
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
@@ -32,9 +33,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
         large, _ = written(tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
         # small star: a node and its smaller neighbours are linked to the smallest of them
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star")
-        small = large.join(least, "u").select("v", "m").union(least)
+        smallest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star")
+        small = large.join(smallest, "u").select("v", "m").union(smallest)
+        before = now
         now, new = written(tidy(small.toDF("u", "v")))
+        discard(least, large, smallest, *([] if before is first else [before]))
         if new == mark:
             break
         mark = new

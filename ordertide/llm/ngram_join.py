@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .components import components
-from .store import map_arrow, materialise
+from .store import discard, map_arrow, materialise
 
 #: Levels that a node chooses among: the number of prefix shingles that a partner must share.
 LEVELS = 4
@@ -231,9 +231,9 @@ def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(wanted, docs["id"] == wanted["doc"]).select("text", "node")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, num: int, den: int, number: Numbers) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose whole sets are similar enough."""
-    pairs = materialise(pairs, "pairs")
+def _verified(made: DataFrame, docs: DataFrame, info: DataFrame, words: int, num: int, den: int, number: Numbers) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose whole sets are similar enough, as a written table."""
+    pairs = materialise(made, "pairs")
     nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(info.select("node", "doc"), "node"), "pair-nodes")
     sets = materialise(map_arrow(_texts_of(nodes, docs), _whole_sets(words, number), "node long, shingles array<long>, wide array<long>"), "sets")
     of = lambda side, c: sets.select(F.col("node").alias(side), F.size("shingles").alias(f"{side}_n"), F.col(c).alias(f"{side}_{c}"))
@@ -245,7 +245,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, nu
 
     both = sifted.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return both.where(common * den >= (F.col("a_n") + F.col("b_n") - common) * num).select("a", "b")
+    links = materialise(both.where(common * den >= (F.col("a_n") + F.col("b_n") - common) * num).select("a", "b"), "verified")
+    discard(pairs, nodes, sets, sifted)
+    return links
 
 
 def _need(num: int, den: int) -> Column:
@@ -290,7 +292,9 @@ def _among_dear(dear: DataFrame, docs: DataFrame, words: int, num: int, den: int
     by = Window.partitionBy("node")
     placed = shared.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("times", "shingle")) - 1)
     longest = F.col("n") - _need(num, den) + F.least(F.lit(LEVELS), _need(num, den))
-    return _with_levels(materialise(placed.where(F.col("place") < longest), "dear-prefixes"), num, den)
+    prefixes = materialise(placed.where(F.col("place") < longest), "dear-prefixes")
+    discard(tokens, times)
+    return _with_levels(prefixes, num, den)
 
 
 def _numbered(census: DataFrame, bits: int) -> tuple[DataFrame, Numbers]:
@@ -333,27 +337,32 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     common = spark.sparkContext.broadcast(_common(census))
     lists = map_arrow(src.where("id IS NOT NULL").select("text"), _prefixes(words, num, den, common, number), "shingle long, node long, place int, n int")
     counted = lists.repartition("shingle").dropDuplicates(["shingle", "node"])
-    entries = materialise(counted.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).where("times > 1"), "entries")
-    entries = materialise(_with_levels(entries, num, den).join(nodes.select("node", *maps), "node"), "prefixes")
+    listed = materialise(counted.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).where("times > 1"), "entries")
+    entries = materialise(_with_levels(listed, num, den).join(nodes.select("node", *maps), "node"), "prefixes")
 
     hubs = entries.groupBy("shingle").agg(F.max(F.struct("central", "node", "n", *maps)).alias("hub"))
     hubs = materialise(hubs.select("shingle", "hub.*"), "hubs")
     first = entries.alias("a").join(hubs.alias("b"), "shingle").where((F.col("a.node") != F.col("b.node")) & _may_link(num, den))
     pair = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
     links = _verified(first.select(*pair).distinct(), src, nodes, words, num, den, number)
-    links = materialise(links.unionByName(bridges), "links")
+    links = links.unionByName(bridges)
     labels = materialise(components(links), "labels")
+    discard(listed, hubs)
 
     labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialise(labelled, "labelled")
+    discard(entries)
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("long")).where("lo < hi").select("shingle", "long")
-    left = materialise(labelled.join(materialise(mixed, "mixed"), "shingle"), "across")
-    dear = left.groupBy("node").agg(F.max("n").alias("n"), F.max("label").alias("label"), F.sum(F.col("long") - 1).alias("cost")).where(F.col("cost") * CHEAP_SHARE > F.col("n"))
+    mixed = materialise(mixed, "mixed")
+    across = materialise(labelled.join(mixed, "shingle"), "across")
+    discard(labelled, mixed)
+    dear = across.groupBy("node").agg(F.max("n").alias("n"), F.max("label").alias("label"), F.sum(F.col("long") - 1).alias("cost")).where(F.col("cost") * CHEAP_SHARE > F.col("n"))
     dear = materialise(dear.join(nodes.select("node", "doc", *maps), "node"), "dear")
-    left = materialise(left.join(dear.select("node", F.lit(True).alias("dear")), "node", "left").withColumn("dear", F.coalesce("dear", F.lit(False))), "left")
+    left = materialise(across.join(dear.select("node", F.lit(True).alias("dear")), "node", "left").withColumn("dear", F.coalesce("dear", F.lit(False))), "left")
     cheap = _candidates(left.where("NOT dear"), left, F.col("b.dear") | (F.col("a.node") < F.col("b.node")), num, den)
     apart = materialise(_among_dear(dear, src, words, num, den, number).join(dear.select("node", "label", *maps), "node"), "dear-entries")
     more = _verified(cheap.unionByName(_candidates(apart, apart, F.col("a.node") < F.col("b.node"), num, den)), src, nodes, words, num, den, number)
+    discard(across, left, apart, dear, labels)
     labels = materialise(components(links.union(more)), "labels")
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
