@@ -52,7 +52,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def write(df: DataFrame, name: str) -> str:
     """Write `df` as Parquet in the shared folder; the path, to be read any number of times."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 
