@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, materialise
 
 #: Second hash of the pair: xxhash64 takes the hash of this literal as its seed.
 SECOND_SEED = "canonical"
@@ -39,28 +39,27 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: in
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
-def classes(df: DataFrame, id_col: str, text_col: str, hashes: DataFrame | None = None) -> DataFrame:
+def classes(prints: DataFrame, id_col: str, text_col: str, print_col: str = "fingerprint") -> DataFrame:
     """Classes of equal canonical texts: one row per repeated digest and member, as
     (`id_col`, `fingerprint`, `class_id`), class_id being the smallest id of the class.
 
-    Ids that stand alone under their digest aren't listed: they are their own class.
-    Inside each digest every member is compared byte by byte with the member of the
-    smallest id, which is the only row that a large group shares; members that
-    differ (a hash collision) form classes of their own by SHA-256. `hashes`: the
-    table (`id_col`, `fingerprint`) if it has been written already. Repeated ids and
-    rows give one row per (id, digest); null ids take no part.
+    `prints` has every text with its digest. Ids that stand alone under their digest aren't
+    listed: they are their own class. Inside each digest every member is compared byte by
+    byte with the member of the smallest id, which is the only row that a large group shares;
+    members that differ (a hash collision) form classes of their own by SHA-256. Repeated ids
+    and rows give one row per (id, digest); null ids take no part.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
-    hashes = hashes.select(F.col(id_col).alias("id"), "fingerprint") if hashes is not None else rows.select("id", digest(canonical(F.col("text"))).alias("fingerprint"))
-    repeated = hashes.where(F.col("id").isNotNull()).groupBy("fingerprint").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "first_id")
-    n = repeated.count()
-    canon = rows.withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon"))).select("id", "canon", "fingerprint")
-    members = _joined(canon, repeated, ["fingerprint"], "inner", n)
+    rows = prints.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(print_col).alias("fingerprint")).where(F.col(id_col).isNotNull())
+    repeated = rows.groupBy("fingerprint").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "first_id")
+    repeated = materialise(repeated, "class-repeated")
+    members = _joined(rows, repeated, ["fingerprint"], "inner", repeated.count())
+    members = materialise(members.select("id", "fingerprint", "first_id", canonical(F.col("text")).alias("canon")), "class-members")
     # both are written, so that the joins deal their sides themselves and can split a large class
     firsts = materialise(members.where("id = first_id").groupBy("fingerprint").agg(F.min("canon").alias("first_canon")), "class-firsts")
     same = F.col("canon") == F.col("first_canon")
     compared = members.join(firsts, "fingerprint").select("id", "fingerprint", "first_id", same.alias("same"), F.when(~same, F.sha2("canon", 256)).alias("strong"))
     compared = materialise(compared, "class-compared")
+    discard(repeated, members, firsts)
     agree = compared.where("same").select(F.col("id").alias(id_col), "fingerprint", F.col("first_id").alias("class_id"))
     collide = compared.where("not same")
     others = collide.groupBy("fingerprint", "strong").agg(F.min("id").alias("class_id"))
@@ -68,27 +67,35 @@ def classes(df: DataFrame, id_col: str, text_col: str, hashes: DataFrame | None
     return agree.unionByName(apart).distinct()
 
 
-#: Ranges at most; they grow past `range_bytes` beyond, and the window then spills.
-MAX_RANGES = 65_536
+#: Blocks of ids at most, and ranges in one: with 16 MB in a range they do for 16 TB, and grow beyond
+#: (100 MB at 100 TB).
+BLOCKS, RANGES = 1024, 1024
 
 
-def _range_of(ids: DataFrame, parts: int) -> Column:
-    """The number of the descending range that `_next_id` falls into, by two levels of bounds."""
-    if parts <= 1:
-        return F.lit(0)
+def _bounds(parts: int, id_col: str = "_next_id") -> Column:
+    """Up to `parts` - 1 values that cut the column into about equal parts, ascending."""
     marks = [i / parts for i in range(1, parts)]
-    found = ids.agg(F.percentile_approx("_next_id", marks, 10 * parts)).first()[0] or []
-    bounds = sorted(set(found))
-    if not bounds:
-        return F.lit(0)
-    wide = max(1, round(len(bounds) ** 0.5))
-    fine = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    return F.array_sort(F.array_distinct(F.percentile_approx(id_col, marks, 10 * parts))) if marks else F.array().cast("array<bigint>")
+
+
+def _with_range(src: DataFrame, parts: int) -> DataFrame:
+    """`src` plus `_part`, the number of its range of `_next_id`, descending; null ids are the last.
+
+    A thousand bounds at most are told to all tasks, which make blocks; each block has a row of
+    bounds of its own in a small table, which is broadcast.
+    """
     below = lambda values: F.size(F.filter(values, lambda b: b < F.col("_next_id")))
-    starts = F.array(*(F.lit(x[0]).cast("long") for x in fine))
-    table = F.array(*(F.array(*(F.lit(b).cast("long") for b in x)) for x in fine))
-    block = below(starts)
-    inner = F.when(block == 0, F.lit(0)).otherwise((block - 1) * wide + below(F.element_at(table, F.greatest(block, F.lit(1)))))
-    return F.coalesce(F.lit(len(bounds)) - inner, F.lit(len(bounds) + 1))
+    blocks = min(BLOCKS, parts)
+    coarse = src.agg(_bounds(blocks).alias("b")).first()["b"] or []
+    src = src.withColumn("_block", F.when(F.col("_next_id").isNotNull(), below(F.array(*(F.lit(b).cast("long") for b in coarse)).cast("array<bigint>"))))
+    inner = min(RANGES, -(-parts // blocks))
+    if inner > 1:
+        fine = src.where("_block IS NOT NULL").groupBy("_block").agg(_bounds(inner).alias("_fine"))
+        src = src.join(F.broadcast(materialise(fine, "ranges")), "_block", "left").withColumn("_inner", below(F.col("_fine"))).drop("_fine")
+    else:
+        src = src.withColumn("_inner", F.lit(0))
+    first = F.lit((len(coarse) + 1) * RANGES)
+    return src.withColumn("_part", F.coalesce(first - F.col("_block") * RANGES - F.col("_inner"), first + 1).cast("long")).drop("_block", "_inner")
 
 
 def with_next(df: DataFrame, id_col: str, carry: list[str], order: list[str], range_bytes: int = 16 << 20, size_col: str = "text") -> DataFrame:
@@ -97,20 +104,20 @@ def with_next(df: DataFrame, id_col: str, carry: list[str], order: list[str], ra
 
     Rows are dealt into ranges of the id of about `range_bytes` of `size_col`; the first
     row of each range is copied to the end of the range before, so no global order is
-    ever made in one task. The table of ranges has one small row per range.
+    ever made in one task. The table of ranges has one small row per range, a million at most.
     """
     src = df.withColumn("_next_id", F.col(id_col).cast("long"))
     total = src.agg(F.sum(F.octet_length(size_col)).alias("b")).first()["b"] or 0
-    parts = min(MAX_RANGES, max(1, total // range_bytes))
-    if parts > 1:
-        parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = _range_of(src.select("_next_id"), parts)
-    src = src.withColumn("_part", part)
-    firsts = sorted(src.groupBy("_part").agg(F.max("_next_id").alias("id")).collect(), key=lambda r: r["_part"])
-    before = [(firsts[i]["id"], firsts[i - 1]["_part"]) for i in range(len(firsts))]  # the first range's first follows the last
-    borders = df.sparkSession.createDataFrame(before, "_border long, _to int")
+    parts = min(BLOCKS * RANGES, max(1, total // range_bytes))
+    if parts > 1:  # several for each task, or chance would give some tasks much more than others
+        parts = max(parts, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    src = _with_range(src, parts)
+    firsts = materialise(src.groupBy("_part").agg(F.max("_next_id").alias("_border")), "range-firsts")
+    # the first range's first row follows the last one
+    by = Window.partitionBy(F.lit(0)).orderBy("_part")
+    borders = firsts.select("_border", F.coalesce(F.lag("_part").over(by), F.max("_part").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
     guests = (
-        src.join(F.broadcast(borders), F.col("_next_id").eqNullSafe(F.col("_border")))
+        src.join(F.broadcast(materialise(borders, "range-borders")), F.col("_next_id").eqNullSafe(F.col("_border")))
         .withColumn("_part", F.col("_to"))
         .drop("_border", "_to")
         .withColumn("_guest", F.lit(1))

@@ -14,13 +14,14 @@ SQL = None  # SQL engines lack Unicode compatibility forms and this hash; tests/
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, and class_id, the smallest doc_id whose canonical text has the same bytes."""
+    near_next, and class_id, the smallest doc_id whose canonical text has the same bytes.
+
+    Rows that share a doc_id come in the order of their fingerprints, then of their texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashes = materialise(docs.select("doc_id", fp.digest(fp.canonical(F.col("text"))).alias("fingerprint")), "op5-hashes")
-    classes = materialise(fp.classes(docs, "doc_id", "text", hashes), "op5-classes")
+    own = materialise(docs.withColumn("fingerprint", fp.digest(fp.canonical(F.col("text")))), "op5-prints")
+    classes = materialise(fp.classes(own, "doc_id", "text"), "op5-classes")
 
-    own = docs.withColumn("fingerprint", fp.digest(fp.canonical(F.col("text"))))
-    pairs = fp.with_next(own, "doc_id", ["text", "fingerprint"], ["fingerprint"])
+    pairs = fp.with_next(own, "doc_id", ["text", "fingerprint"], ["fingerprint", "text"])
     made = pairs.withColumn("edited", fp.edited(F.col("text"), F.col("next_text")))
     printed = made.withColumn("edited_fingerprint", fp.digest(fp.canonical(F.col("edited"))))
     rows = printed.select(

@@ -22,7 +22,7 @@ def digest(text):
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], digest(r[1])))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], digest(r[1]), r[1]))
     out = []
     for k, (i, text) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
@@ -59,6 +59,24 @@ def test_ranges_agree_with_one_range(spark):
     assert one == many and len(one) == 300
 
 
+def test_repeated_ids_have_an_order(spark, tmp_path):
+    """Equal ids: by fingerprint, then by text, wherever rows come from."""
+    texts = ["a  b", "a b", " a b", "A b", "c", "C ", "c  "]
+    rows = [(i, t) for i in (3, 5, 9) for t in texts] + [(4, "x y z")]
+    for parts in (1, 5):
+        path = f"{tmp_path}/{parts}"
+        spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string").repartition(parts).write.parquet(f"{path}/documents.parquet")
+        assert got(op5.query(spark, path)) == brute(rows)
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCKS", 7)
+    monkeypatch.setattr(fp, "RANGES", 5)
+    df = spark.createDataFrame([(i * 37 % 500 if i % 50 else None, f"t{i}") for i in range(600)], "doc_id long, text string")
+    one, many = (sorted(map(str, fp.with_next(df, "doc_id", ["text"], ["text"], b).collect())) for b in (1 << 30, 60))
+    assert one == many and len(one) == 600
+
+
 def test_empty_and_single(spark, tmp_path):
     schema = "doc_id long, text string"
     for name, rows in (("none", []), ("one", [(5, "abcdef")])):
@@ -66,9 +84,8 @@ def test_empty_and_single(spark, tmp_path):
         assert got(op5.query(spark, f"{tmp_path}/{name}")) == (brute(rows) if rows else [])
 
 
-def test_collision_splits_the_class(spark, monkeypatch):
+def test_collision_splits_the_class(spark):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(fp, "digest", lambda canon: F.substring(canon, 1, 1))
-    df = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "AB"), (4, "ac"), (5, "zz")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "AB"), (4, "ac"), (5, "zz")], "doc_id long, text string").withColumn("fingerprint", F.substring(F.lower("text"), 1, 1))
     assert {(r.doc_id, r.class_id) for r in fp.classes(df, "doc_id", "text").collect()} == {(1, 1), (2, 2), (3, 1), (4, 2)}
