@@ -28,6 +28,12 @@ def sample_step(default: int) -> int:
     return max(1, int(said)) if said.lstrip("-").isdigit() else default
 
 
+def fan_in_said() -> int | None:
+    """FAN_IN from the environment; text that is no number counts as none."""
+    said = os.environ.get("FAN_IN", "")
+    return int(said) if said.isdigit() else None
+
+
 def chunk_bytes() -> int:
     """CHUNK_MB from the environment, 16 to 4096, else 192: how large a part of a file one task reads.
     Results don't depend on it."""
@@ -82,7 +88,7 @@ def hard(spark: SparkSession, path: str, mode: str = "both", fan_in: int | None
     for name in ("flat", "hierarchy"):
         if mode not in (name, "both"):
             continue
-        merged = strategies.flat(good, within) if name == "flat" or not ids else strategies.hierarchy(strategies.split_sources(good, ids), fan_in, within)
+        merged = strategies.flat(good, within) if name == "flat" or not ids else strategies.hierarchy(good, fan_in, within)
         say(f"Strategy: {name}")
         if check:
             outcomes[name] = strategies.outcome(merged, within)
@@ -108,7 +114,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     many = commands.add_parser("hard", help="a folder of feed files")
     many.add_argument("path")
     many.add_argument("mode", nargs="?", default="both", choices=strategies.MODES)
-    many.add_argument("--fan-in", type=int, default=int(os.environ.get("FAN_IN") or 0) or None)
+    many.add_argument("--fan-in", type=int, default=fan_in_said())
     many.add_argument("--hash", action="store_true", help="also the exact ordered hash, by one task")
     try:
         said = parser.parse_args(args)

@@ -8,11 +8,16 @@ partition, for consumers whose results can be put together.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Consumer = Callable[[Row], None]
+#: Rows of a consumer's results in one batch.
+BATCH = 10_000
 
 
 def dispatch(ordered: DataFrame, *consumers: Consumer) -> int:
@@ -25,15 +30,16 @@ def dispatch(ordered: DataFrame, *consumers: Consumer) -> int:
 
 
 def dispatch_parts(ordered: DataFrame, work: Callable[[Iterable[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """What `work` makes of each sorted partition's rows, in Arrow batches."""
+    """What `work` makes of each sorted partition's rows, in Arrow batches; it may yield any number."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             yield from batch.to_pylist()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = list(work(rows(batches)))
-        if made:
-            yield pa.RecordBatch.from_pylist(made)
+        made = iter(work(rows(batches)))
+        while some := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_pylist(some, kinds)
 
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
     return ordered.mapInArrow(apply, schema)

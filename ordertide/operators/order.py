@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ordertide.tables import materialise
 
@@ -26,11 +27,29 @@ def merged(events: DataFrame, **keys) -> DataFrame:
     return events.orderBy(*merge_keys(**keys))
 
 
-def held_back(events: DataFrame, within: tuple[str, ...], key: str = KEY, sequence: str = SEQUENCE, source: str = SOURCE, name: str = "held") -> DataFrame:
-    """`events` plus `name`: the largest (key, sequence) of its source up to each row. One task works
-    on a source, as the merge of unsorted sources is defined row after row of it."""
-    by = Window.partitionBy(source).orderBy(*within).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn(name, F.max(F.struct(F.col(key).alias("k"), F.col(sequence).alias("q"))).over(by))
+#: Rows of a source in one piece: pieces are worked on apart, and what one leaves is carried to the next.
+PIECE = 1_000_000
+
+
+def _in_pieces(events: DataFrame, within: tuple[str, ...], key: str, sequence: str, source: str, piece: int) -> tuple[DataFrame, WindowSpec]:
+    """`events` with `_key`, `_pos`, `_piece` and the largest and the last key of the source's pieces before;
+    and the order within a piece."""
+    keyed = events.withColumn("_key", F.struct(F.col(key).alias("k"), F.col(sequence).alias("q")))
+    placed = with_position(keyed, [F.col(source), *(F.col(c) for c in within)], "_pos").withColumn("_piece", F.floor(F.col("_pos") / piece))
+    ends = placed.groupBy(F.col(source).alias("_of"), "_piece").agg(F.max("_key").alias("most"), F.max_by("_key", "_pos").alias("last"))
+    by = Window.partitionBy("_of").orderBy("_piece")
+    carried = ends.select("_of", "_piece", F.max("most").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_most"), F.lag("last").over(by).alias("_last"))
+    both = materialise(carried, "carried").withColumnRenamed("_piece", "_its")
+    joined = placed.join(both, F.col(source).eqNullSafe(F.col("_of")) & (F.col("_piece") == F.col("_its"))).drop("_of", "_its")
+    return joined, Window.partitionBy(source, "_piece").orderBy("_pos")
+
+
+def held_back(events: DataFrame, within: tuple[str, ...], key: str = KEY, sequence: str = SEQUENCE, source: str = SOURCE, name: str = "held", piece: int = PIECE) -> DataFrame:
+    """`events` plus `name`: the largest (key, sequence) of its source up to each row. A running maximum
+    goes on from piece to piece, so a source of any size is worked on by many tasks."""
+    pieces, by = _in_pieces(events, within, key, sequence, source, piece)
+    running = F.max("_key").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return pieces.withColumn(name, F.greatest(running, F.col("_most"))).drop("_key", "_pos", "_piece", "_most", "_last")
 
 
 def unsorted_keys(source: str = SOURCE, within: tuple[str, ...] = (), name: str = "held") -> list[Column]:
@@ -53,11 +72,11 @@ def stream_keys(events: DataFrame, within: tuple[str, ...] = ()) -> list[Column]
     return unsorted_keys(within=within) if "held" in events.columns else merge_keys(within=within)
 
 
-def disorder(events: DataFrame, within: tuple[str, ...], key: str = KEY, sequence: str = SEQUENCE, source: str = SOURCE) -> DataFrame:
-    """(source, rows out of order) of sources that aren't sorted."""
-    by = Window.partitionBy(source).orderBy(*within)
-    now, before = F.struct(key, sequence), F.lag(F.struct(key, sequence)).over(by)
-    return events.withColumn("_late", now < before).where("_late").groupBy(source).agg(F.count("*").alias("late"))
+def disorder(events: DataFrame, within: tuple[str, ...], key: str = KEY, sequence: str = SEQUENCE, source: str = SOURCE, piece: int = PIECE) -> DataFrame:
+    """(source, rows out of order) of sources that aren't sorted; in pieces, as held_back()."""
+    pieces, by = _in_pieces(events.select(*dict.fromkeys((source, *within, key, sequence))), within, key, sequence, source, piece)
+    before = F.coalesce(F.lag("_key").over(by), F.col("_last"))
+    return pieces.withColumn("_late", F.col("_key") < before).where("_late").groupBy(source).agg(F.count("*").alias("late"))
 
 
 def with_position(df: DataFrame, keys: list[Column], name: str = "pos", first: int = 1) -> DataFrame:

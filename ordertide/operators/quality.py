@@ -59,9 +59,13 @@ def rollup(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("sources"), *sums, F.min("first_ts_ns").alias("first_ts_ns"), F.max("last_ts_ns").alias("last_ts_ns"))
 
 
+def distinct_column() -> Column:
+    return F.countDistinct(F.when(in_book(), F.col("instrument_id"))).alias("distinct_instruments")
+
+
 def distinct_instruments(events: DataFrame) -> DataFrame:
     """How many instruments have an event that may move the book, on whatever side."""
-    return events.agg(F.countDistinct(F.when(in_book(), F.col("instrument_id"))).alias("distinct_instruments"))
+    return events.agg(distinct_column())
 
 
 def time_range(events: DataFrame, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:

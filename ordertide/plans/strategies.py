@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ordertide.operators import book, digest, quality
 from ordertide.operators.order import stream_keys, with_position
+from ordertide.tables import materialise
 
 MODES = ("flat", "hierarchy", "both")
 FAN_IN = 4
@@ -24,21 +25,20 @@ def flat(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     return events.orderBy(*stream_keys(events, within))
 
 
-def hierarchy(sources: list[DataFrame], n: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
-    """Sources merged in groups of `fan_in`, level by level, and then ordered. The rows are those of
-    flat(); the levels cost sorts that flat() doesn't need, so this serves the cross-check."""
-    if not sources:
-        raise ValueError("there are no sources to merge")
-    group, level = fan_in(n), list(sources)
-    while len(level) > 1:
-        merged = []
-        for i in range(0, len(level), group):
-            node = level[i]
-            for other in level[i + 1 : i + group]:
-                node = node.unionByName(other)
-            merged.append(node.sortWithinPartitions(*stream_keys(node, within)) if len(level[i : i + group]) > 1 else node)
-        level = merged
-    return level[0].orderBy(*stream_keys(level[0], within))
+def hierarchy(events: DataFrame, n: int | None = None, within: tuple[str, ...] = (), source: str = "source_id") -> DataFrame:
+    """Sources merged in groups of `fan_in`, level by level, from one scan. Each level is a table written
+    in the order of its nodes, each of them in the order of the merge, and the next one merges
+    groups of these: no level can be folded into another. The rows are those of flat(); the levels
+    cost sorts that flat() doesn't need, so this serves the cross-check."""
+    group = fan_in(n)
+    ids = [r[0] for r in events.select(source).distinct().orderBy(source).collect()]  # a row per source
+    numbers = events.sparkSession.createDataFrame(list(enumerate(ids)), f"_node int, _source {events.schema[source].dataType.simpleString()}")
+    now = events.join(F.broadcast(numbers), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    for nodes in levels(len(ids), n)[:-1]:
+        merged = now.withColumn("_node", F.floor(F.col("_node") / group).cast("int"))
+        merged = merged.repartitionByRange("_node", *stream_keys(merged, within)).sortWithinPartitions("_node", *stream_keys(merged, within))
+        now = materialise(merged, f"merged-{nodes}")
+    return now.drop("_node").orderBy(*stream_keys(now, within))
 
 
 def levels(sources: int, n: int | None = None) -> list[int]:
@@ -74,15 +74,14 @@ class Outcome:
 
 def outcome(ordered: DataFrame, within: tuple[str, ...] = ()) -> Outcome:
     positioned = with_position(ordered, stream_keys(ordered, within))
-    d = digest.stream_digest(positioned).first()
-    distinct = quality.distinct_instruments(positioned).first()[0]
+    d = positioned.agg(*digest.digest_columns(), quality.distinct_column()).first()
     n = book.updates(positioned).agg(F.coalesce(F.sum("updates"), F.lit(0))).first()[0]
-    return Outcome(d["total"], d["digest"], distinct, int(n))
+    return Outcome(d["total"], d["digest"], d["distinct_instruments"], int(n))
 
 
-def cross_check(events: DataFrame, sources: list[DataFrame], n: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+def cross_check(events: DataFrame, n: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """One row: total, distinct_instruments, lob_updates of the flat merge, and whether the
     hierarchy's are the same and its digest too."""
-    a, b = outcome(flat(events, within), within), outcome(hierarchy(sources, n, within), within)
+    a, b = outcome(flat(events, within), within), outcome(hierarchy(events, n, within), within)
     row = (a.total, a.distinct_instruments, a.lob_updates, a == b)
     return events.sparkSession.createDataFrame([row], "total bigint, distinct_instruments bigint, lob_updates bigint, agree boolean")

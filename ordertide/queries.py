@@ -174,8 +174,7 @@ def flat_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_MERGED)
 def hierarchy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by merging sources in groups of four."""
-    sources = strategies.split_sources(mbo(spark, sf_dir), list(range(SOURCES)))
-    return order.with_position(strategies.hierarchy(sources), order.merge_keys()).select("pos", "source_id", *EVENT)
+    return order.with_position(strategies.hierarchy(mbo(spark, sf_dir)), order.merge_keys()).select("pos", "source_id", *EVENT)
 
 
 _LINE_SQL = f"SELECT l_orderkey % {SOURCES} AS src, l_shipdate AS k, l_linenumber AS q, {', '.join(LINE)}, row_number() OVER (PARTITION BY l_orderkey % {SOURCES} ORDER BY {{}}) AS p FROM lineitem"
@@ -282,8 +281,7 @@ def fnv_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(sum(updates) AS BIGINT) AS lob_updates, true AS agree FROM r""")
 def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat and hierarchical merges compared by totals, digests and books."""
-    events = mbo(spark, sf_dir)
-    return strategies.cross_check(events, strategies.split_sources(events, list(range(SOURCES))))
+    return strategies.cross_check(mbo(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS a, count(*) AS n, CAST(avg(CAST(value AS DECIMAL(38,9))) AS DOUBLE) AS mean FROM events GROUP BY event_type)

@@ -41,25 +41,23 @@ def test_sorted_sources(spark, seed):
     df = frame(spark, sources)
     got = [(r.source_id, r.p) for r in order.with_position(df, order.merge_keys(within=("p",))).orderBy("pos").collect()]
     assert got == model(sources)
-    tree = strategies.hierarchy(strategies.split_sources(df, list(range(len(sources)))), 3, ("p",))
+    tree = strategies.hierarchy(df, 3, ("p",))
     assert [(r.source_id, r.p) for r in tree.collect()] == model(sources)
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_unsorted_sources(spark, seed):
     sources = cases(seed, True)
-    held = order.held_back(frame(spark, sources), ("p",))
+    held = order.held_back(frame(spark, sources), ("p",), piece=(1_000_000, 5)[seed % 2])
     got = order.with_position(held, order.unsorted_keys(within=("p",))).orderBy("pos").collect()
     assert [(r.source_id, r.p) for r in got] == model(sources)
-    late = {r.source_id: r.late for r in order.disorder(frame(spark, sources), ("p",)).collect()}
+    late = {r.source_id: r.late for r in order.disorder(frame(spark, sources), ("p",), piece=(1_000_000, 5)[seed % 2]).collect()}
     assert late == {i: n for i, s in enumerate(sources) if (n := sum(b < a for a, b in zip(s, s[1:])))}
 
 
 def test_tree_shape():
     assert strategies.levels(22) == [6, 2, 1] and strategies.levels(30) == [8, 2, 1] and strategies.levels(1) == []
     assert [strategies.fan_in(n) for n in (None, 1, 2, 8, 9)] == [4, 4, 2, 8, 4]
-    with pytest.raises(ValueError):
-        strategies.hierarchy([])
 
 
 def test_positions_over_many_partitions(spark):
