@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the feed's format.
 UNDEF_PRICE = "9223372036854775807"
-BAD_TS_RECV, MAYBE_BAD_BOOK = 8, 4
+LAST, TOP_OF_BOOK, SNAPSHOT, BY_PRICE, BAD_TS_RECV, MAYBE_BAD_BOOK = 128, 64, 32, 16, 8, 4
 ACTIONS, SIDES = ("A", "C", "R", "T", "M", "F"), ("B", "A", "N")
 NANOS = 1_000_000_000
 #: Fixed values of the ordered hash.
@@ -79,6 +79,14 @@ def side(text: Column) -> Column:
     return F.when(text.isin(*SIDES), text).otherwise(F.lit("?"))
 
 
+def side_meaning(action_: Column, side_: Column) -> Column:
+    """What a side says of its action: aggressor of a trade, filled order, or order in the book; null
+    without a side and for actions that have none."""
+    who = F.when(side_ == "A", F.lit("sell")).when(side_ == "B", F.lit("buy"))
+    what = F.when(action_ == "T", F.lit("aggressor")).when(action_ == "F", F.lit("order filled")).when(action_.isin("A", "M", "C"), F.lit("order in the book"))
+    return F.concat(who, F.lit(" "), what)
+
+
 def one_letter(text: Column) -> Column:
     """The code as sent where it is one character, else `?`."""
     return F.when(F.char_length(text) == 1, text).otherwise(F.lit("?"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordertide.functions.scalars import TOP_OF_BOOK, has_flag
 from ordertide.operators.order import merge_keys, with_position
 from ordertide.operators.quality import in_book
 from ordertide.tables import materialise
@@ -87,3 +88,35 @@ def exact_fold(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
 
     dealt = quotes(events).repartition("instrument_id").sortWithinPartitions("instrument_id", *merge_keys(within=within))
     return dealt.select(F.col("instrument_id").cast("bigint"), "side", "price").mapInArrow(fold, "instrument_id bigint, best_bid double, best_ask double, updates bigint")
+
+
+def resting(events: DataFrame, keys: tuple[str, ...] = ("key_ts_ns", "sequence")) -> DataFrame:
+    """(instrument_id, order_id, side, price, size) of the orders left at the end.
+
+    An add or modify sets an order, cancels after its last one take from its size, a clear removes
+    all orders of the instrument before it; trades and fills leave the book alone. Order is by
+    `keys`, which are unique. Four aggregates, no order is replayed row after row.
+    """
+    at = F.struct(*keys)
+    placed = events.select("instrument_id", "order_id", "action", "side", "price", "size", at.alias("_at"))
+    cleared = placed.where("action = 'R'").groupBy("instrument_id").agg(F.max("_at").alias("_cleared"))
+    live = placed.where("action IN ('A', 'M', 'C')").join(materialise(cleared, "cleared"), "instrument_id", "left").where("_cleared IS NULL OR _at > _cleared")
+    live = materialise(live.drop("_cleared"), "live")
+    by = ["instrument_id", "order_id"]
+    last = live.where("action != 'C'").groupBy(*by).agg(F.max(F.struct("_at", "side", "price", "size")).alias("_set"))
+    taken = live.where("action = 'C'").join(materialise(last, "set"), by).where(F.col("_at") > F.col("_set._at")).groupBy(*by).agg(F.sum("size").alias("_taken"))
+    left = last.join(taken, by, "left").withColumn("size", F.col("_set.size") - F.coalesce("_taken", F.lit(0)))
+    return left.where("size > 0").select(*by, "_set.side", "_set.price", "size")
+
+
+def price_levels(orders: DataFrame) -> DataFrame:
+    """(instrument_id, side, price, size, orders): resting orders by price."""
+    return orders.groupBy("instrument_id", "side", "price").agg(F.sum("size").alias("size"), F.count("*").alias("orders"))
+
+
+def top_quotes(events: DataFrame, keys: tuple[str, ...] = ("key_ts_ns", "sequence")) -> DataFrame:
+    """(instrument_id, side, price, size) of the last top-of-book message of each side; one of size 0
+    without a price takes the quote away."""
+    quoted = events.where(has_flag(F.col("flags"), TOP_OF_BOOK) & (F.col("action") == "A"))
+    last = quoted.groupBy("instrument_id", "side").agg(F.max(F.struct(*keys, "has_price", "price", "size")).alias("q"))
+    return last.where("q.has_price OR q.size > 0").select("instrument_id", "side", "q.price", "q.size")

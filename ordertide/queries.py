@@ -1,7 +1,6 @@
 """Every operator as a query over the supplied tables, with the same in SQL for DuckDB.
 
-Results are compared as sets of rows, so order is carried in a column. A query without SQL
-has a result that SQL can't express: the ordered hash and the digest.
+Results are compared as sets of rows, so order is carried in a column.
 """
 
 from __future__ import annotations
@@ -12,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.functions import scalars as S
-from ordertide.operators import book, digest, order, quality
+from ordertide.operators import book, digest, dispatch, order, quality
 from ordertide.plans import strategies
 from ordertide.sources import feed
 from ordertide.sources.tables import MBO_SQL, SOURCES, mbo
-from ordertide.tables import table
+from ordertide.streaming import feed as streams
+from ordertide.tables import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -267,16 +267,129 @@ def lob_exact_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.exact_fold(mbo(spark, sf_dir))
 
 
-@query()
+_LINE = """'timestamp=' || strftime(make_timestamp(key_ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.%f') || '000Z | instrument=' || instrument_id || ' | order_id=' || order_id
+  || ' | side=' || side || ' | price=' || CASE WHEN has_price THEN printf('%.9f', price) ELSE 'null' END || ' | size=' || size || ' | action=' || action"""
+
+
+@query(f"""WITH {MBO_SQL}, p AS (SELECT row_number() OVER (ORDER BY key_ts_ns, sequence, source_id DESC) || ' ' || {_LINE} AS line FROM mbo)
+SELECT CAST(count(*) AS BIGINT) AS total, bit_xor(CAST('0x' || substr(md5(line), 1, 15) AS BIGINT)) AS digest FROM p""")
 def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.stream_digest(order.with_position(mbo(spark, sf_dir), order.merge_keys()))
+    """The merge's digest over printed events with their places."""
+    return digest.text_digest(order.with_position(mbo(spark, sf_dir), order.merge_keys()))
+
 
+#: An event's eight words for DuckDB; the bits of a price above 0 are made of its exponent and mantissa.
+_WORDS_SQL = """[CAST(key_ts_ns AS UHUGEINT), CAST(ts_recv_ns AS UHUGEINT),
+  CASE WHEN p > 0 THEN CAST((CAST(y + 1023 AS HUGEINT) << 52) + CAST((p / pow(2.0, y) - 1) * 4503599627370496 AS HUGEINT) AS UHUGEINT) ELSE CAST(0 AS UHUGEINT) END,
+  CAST(size AS UHUGEINT), CAST(sequence AS UHUGEINT), CAST(order_id AS UHUGEINT), CAST((instrument_id << 32) | flags AS UHUGEINT),
+  CAST(ascii(action) | (ascii(side) << 8) | (CAST(has_price AS INTEGER) << 16) AS UHUGEINT)]"""
 
-@query()
+
+@query(f"""WITH {MBO_SQL}, b AS (SELECT *, CASE WHEN has_price THEN price ELSE 0.0 END AS p FROM mbo),
+e AS (SELECT *, CASE WHEN p > 0 THEN CAST(floor(log2(p)) AS INTEGER) END AS x FROM b),
+f AS (SELECT *, CASE WHEN p <= 0 THEN 0 WHEN p < pow(2.0, x) THEN x - 1 WHEN p >= pow(2.0, x + 1) THEN x + 1 ELSE x END AS y FROM e),
+l AS (SELECT flatten(list({_WORDS_SQL} ORDER BY key_ts_ns, sequence, source_id DESC)) AS words, count(*) AS total FROM f)
+SELECT CAST(total AS BIGINT) AS total, lpad(lower(hex(CAST(list_reduce(list_prepend(CAST({S.HASH_START} AS UHUGEINT), words),
+  lambda h, x: (xor(h, x) * {S.HASH_FACTOR}) % CAST({1 << 64} AS UHUGEINT)) AS UBIGINT))), 16, '0') AS hash FROM l""")
 def fnv_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered hash, event after event."""
     return digest.ordered_hash(mbo(spark, sf_dir))
 
 
+def _as_files(events: DataFrame, value) -> str:
+    """The events as feed files in the shared folder, one per source, in the order of time."""
+    path = new_path(events.sparkSession, "feed")
+    feed.write_folder(events.select("source_id", "key_ts_ns", "sequence", value.alias("value")), path, "source_id", ("key_ts_ns", "sequence"))
+    return path
+
+
+@query(f"WITH {MBO_SQL} SELECT row_number() OVER (ORDER BY key_ts_ns, sequence, source_id DESC) AS pos, source_id, {EVENT_SQL.replace('price, has_price', 'CASE WHEN has_price THEN price END AS price, has_price')} FROM mbo")
+def feed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files written, scanned as a folder, parsed and merged."""
+    read = feed.read_events(spark, _as_files(mbo(spark, sf_dir), feed.wire_line()), folder=True).withColumn("source_id", F.col("source_idx").cast("bigint"))
+    read = order.hold_back(quality.kept(read), ("block", "row")).withColumn("order_id", F.col("order_id").cast("bigint"))
+    return order.with_position(read, order.stream_keys(read, ("block", "row"))).select("pos", "source_id", *EVENT)
+
+
+#: Sequences of these residues become broken, blank, empty and untimed lines.
+BROKEN, BLANK, BARE = 101, 103, 107
+_DIRTY_SQL = f"""d AS (SELECT * REPLACE (CASE WHEN sequence % {UNTIMED} = 0 OR sequence % {BARE} = 0 THEN 0 ELSE key_ts_ns END AS key_ts_ns,
+    CASE WHEN sequence % {UNTIMED} = 0 OR sequence % {BARE} = 0 THEN 0 ELSE ts_recv_ns END AS ts_recv_ns), sequence % {BROKEN} = 0 AS broken FROM mbo
+  WHERE sequence % {BROKEN} = 0 OR sequence % {BLANK} <> 0)"""
+
+
+@query(f"""WITH {MBO_SQL}, {_DIRTY_SQL} SELECT source_id, CAST(count(*) FILTER (NOT broken AND key_ts_ns <> 0) AS BIGINT) AS total, CAST(count(*) FILTER (broken) AS BIGINT) AS errors,
+  CAST(count(*) FILTER (NOT broken AND key_ts_ns = 0) AS BIGINT) AS dropped, CAST(count(*) FILTER (NOT broken AND key_ts_ns <> 0 AND ts_recv_ns = 0) AS BIGINT) AS fallback,
+  CAST(count(*) FILTER (NOT broken AND key_ts_ns <> 0 AND flags & 8 <> 0) AS BIGINT) AS bad_ts_recv, CAST(count(*) FILTER (NOT broken AND key_ts_ns <> 0 AND flags & 4 <> 0) AS BIGINT) AS maybe_bad_book,
+  min(key_ts_ns) FILTER (NOT broken AND key_ts_ns <> 0) AS first_ts_ns, max(key_ts_ns) FILTER (NOT broken AND key_ts_ns <> 0) AS last_ts_ns FROM d GROUP BY source_id""")
+def feed_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries per feed file, of files with broken, blank, empty and untimed lines."""
+    q = F.col("sequence")
+    zero = F.lit(0).cast("bigint")
+    events = mbo(spark, sf_dir).withColumns({c: F.when(q % UNTIMED == 0, zero).otherwise(F.col(c)) for c in ("key_ts_ns", "ts_recv_ns")})
+    line = F.when(q % BROKEN == 0, F.substring(feed.wire_line(), 1, 40)).when(q % BLANK == 0, F.lit("  ")).when(q % BARE == 0, F.lit("{}")).otherwise(feed.wire_line())
+    read = feed.read_events(spark, _as_files(events, line), folder=True)
+    return quality.per_source(read.withColumn("source_id", F.col("source_idx").cast("bigint")))
+
+
+@query(f"WITH {MBO_SQL} SELECT instrument_id, CAST(count(*) AS BIGINT) AS events, CAST(sum(size) AS BIGINT) AS size FROM mbo GROUP BY instrument_id")
+def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consumer called with every event of each sorted partition; its results put together."""
+
+    def consumer(rows):
+        seen: dict[int, list[int]] = {}
+        for r in rows:
+            own = seen.setdefault(r["instrument_id"], [0, 0])
+            own[0] += 1
+            own[1] += r["size"]
+        for i, (n, size) in seen.items():
+            yield {"instrument_id": i, "events": n, "size": size}
+
+    parts = dispatch.dispatch_parts(strategies.flat(mbo(spark, sf_dir)).select("instrument_id", "size"), consumer, "instrument_id bigint, events bigint, size bigint")
+    return parts.groupBy("instrument_id").agg(F.sum("events").alias("events"), F.sum("size").alias("size"))
+
+
+@query(f"{_BOOK_SQL} SELECT * FROM r")
+def stream_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files as a stream: books kept as state, until all files are read."""
+    live = streams.stream_events(spark, _as_files(mbo(spark, sf_dir), feed.wire_line()))
+    out = new_path(spark, "stream-book")
+    books = streams.book_updates(live)
+    streams.run(books, new_path(spark, "stream-state"), lambda df, _: df.write.mode("append").parquet(out)).awaitTermination()
+    return spark.read.schema(books.schema).parquet(out).groupBy("instrument_id").agg(F.max_by("best_bid", "updates").alias("best_bid"), F.max_by("best_ask", "updates").alias("best_ask"), F.max("updates").alias("updates"))
+
+
+@query(f"""WITH {MBO_SQL} SELECT sequence, CASE WHEN side IN ('A', 'B') THEN CASE side WHEN 'A' THEN 'sell ' ELSE 'buy ' END
+  || CASE WHEN action = 'T' THEN 'aggressor' WHEN action = 'F' THEN 'order filled' WHEN action IN ('A', 'M', 'C') THEN 'order in the book' END END AS meaning FROM mbo""")
+def side_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event's side says."""
+    return mbo(spark, sf_dir).select("sequence", S.side_meaning(F.col("action"), F.col("side")).alias("meaning"))
+
+
+#: Few orders per instrument, so that they are modified and cancelled, and now and then a clear.
+ORDERS, CLEARS = 3, 53
+_RESTING_SQL = f"""o AS (SELECT * REPLACE (sequence % {ORDERS} AS order_id, CASE WHEN sequence % {CLEARS} = 0 THEN 'R' ELSE action END AS action), {{'k': key_ts_ns, 'q': sequence}} AS seen FROM mbo),
+c AS (SELECT instrument_id, max(seen) AS cleared FROM o WHERE action = 'R' GROUP BY instrument_id),
+l AS (SELECT o.* FROM o LEFT JOIN c USING (instrument_id) WHERE cleared IS NULL OR seen > cleared),
+s AS (SELECT instrument_id, order_id, max(seen) AS set_at, arg_max(side, seen) AS side, arg_max(price, seen) AS price, arg_max(size, seen) AS size FROM l WHERE action IN ('A', 'M') GROUP BY ALL),
+t AS (SELECT s.instrument_id, s.order_id, s.side, s.price, s.size - coalesce((SELECT sum(l.size) FROM l WHERE l.action = 'C' AND l.instrument_id = s.instrument_id AND l.order_id = s.order_id AND l.seen > s.set_at), 0) AS size FROM s)"""
+
+
+@query(f"WITH {MBO_SQL}, {_RESTING_SQL} SELECT instrument_id, side, price, CAST(sum(size) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS orders FROM t WHERE size > 0 GROUP BY ALL")
+def resting_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders left after adds, modifies, cancels and clears, by price."""
+    q = F.col("sequence")
+    events = mbo(spark, sf_dir).withColumns({"order_id": q % ORDERS, "action": F.when(q % CLEARS == 0, F.lit("R")).otherwise(F.col("action"))})
+    return book.price_levels(book.resting(events))
+
+
+@query(f"""WITH {MBO_SQL}, q AS (SELECT instrument_id, side, arg_max({{'h': has_price, 'p': price, 's': CASE WHEN sequence % 4 = 0 THEN 0 ELSE size END}}, {{'k': key_ts_ns, 'q': sequence}}) AS q FROM mbo WHERE flags & 64 <> 0 AND action = 'A' GROUP BY instrument_id, side)
+SELECT instrument_id, side, q.p AS price, CAST(q.s AS BIGINT) AS size FROM q WHERE q.h OR q.s > 0""")
+def top_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last top-of-book quote of each side."""
+    return book.top_quotes(mbo(spark, sf_dir).withColumn("size", F.when(F.col("sequence") % 4 == 0, F.lit(0).cast("bigint")).otherwise(F.col("size"))))
+
+
 @query(f"""{_BOOK_SQL} SELECT CAST((SELECT count(*) FROM mbo) AS BIGINT) AS total, CAST((SELECT count(DISTINCT instrument_id) FROM mbo WHERE has_price AND action IN ('A', 'M')) AS BIGINT) AS distinct_instruments,
   CAST(sum(updates) AS BIGINT) AS lob_updates, true AS agree FROM r""")
 def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ only the fields that a query needs are taken from the JSON.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.functions import scalars as S
+from ordertide.tables import hadoop_path
 
 #: The wire schema; price and order_id are text on purpose.
 WIRE = (
@@ -42,9 +43,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all feed files right in a folder, with source_idx: the place of the file's name in
     lexicographic order. Other files are ignored, also those that Spark takes for hidden (their
     names begin with a point or underscore); without any feed file NoInput is raised."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place, fs = hadoop_path(spark, path)
     suffix = FILE_PATTERN[2:]
     names = (s.getPath().getName() for s in fs.listStatus(place) if s.isFile())
     found = sorted(n for n in names if n.endswith(suffix) and len(n) > len(suffix) and n[0] not in "._")
@@ -101,7 +100,12 @@ def read_events(spark: SparkSession, path: str, folder: bool, **options) -> Data
 
 
 def to_wire(events: DataFrame) -> DataFrame:
-    """Events as JSON lines in `value`; a receive time of 0 and an absent price are left out."""
+    """Events as JSON lines in `value`."""
+    return events.select(wire_line().alias("value"))
+
+
+def wire_line() -> Column:
+    """An event as a JSON line; a receive time of 0 and an absent price are left out."""
     none = F.lit(None).cast("string")
     wire = F.struct(
         F.when(F.col("ts_recv_ns") != 0, S.format_timestamp(F.col("ts_recv_ns"))).otherwise(none).alias("ts_recv"),
@@ -117,4 +121,21 @@ def to_wire(events: DataFrame) -> DataFrame:
         "sequence",
         F.concat(F.lit("S"), F.col("instrument_id")).alias("symbol"),
     )
-    return events.select(F.to_json(wire).alias("value"))
+    return F.to_json(wire)
+
+
+def write_folder(lines: DataFrame, path: str, source: str = "source_idx", order: tuple[str, ...] = ("row",)) -> None:
+    """A folder of feed files, one for each source number, of the lines in `value` in the order of columns.
+    A source's file is written by one task, which sorts it and may spill."""
+    spark, parts = lines.sparkSession, f"{path.rstrip('/')}/_parts"
+    dealt = lines.repartition(source).sortWithinPartitions(source, *order)
+    dealt.select(F.col(source).alias("source"), "value").write.partitionBy("source").text(parts)
+    place, fs = hadoop_path(spark, path)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in fs.listStatus(to(parts)):  # a folder and a file per source
+        if folder.isDirectory() and (name := folder.getPath().getName()).startswith("source="):
+            for k, f in enumerate(x for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")):
+                if k:
+                    raise ValueError(f"{name} has more than one file")
+                fs.rename(f.getPath(), to(place, f"{int(name.removeprefix('source=')):06d}{FILE_PATTERN[2:]}"))
+    fs.delete(to(parts), True)

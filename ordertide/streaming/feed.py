@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,11 +19,13 @@ from ordertide.sources.feed import FILE_PATTERN, parse
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int | None = None, **options) -> DataFrame:
-    """Parsed events of the folder's feed files, as a streaming frame."""
+    """Parsed events of the folder's feed files, as a streaming frame, with source_name and block:
+    the file, and where the part of it that a task reads begins. (Streams have no row numbers.)"""
     reader = spark.readStream.option("pathGlobFilter", FILE_PATTERN)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return parse(reader.text(path), **options)
+    placed = ("value", F.col("_metadata.file_name").alias("source_name"), F.col("_metadata.file_block_start").alias("block"))
+    return parse(reader.text(path).select(*placed), **options)
 
 
 def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update", available_now: bool = True) -> StreamingQuery:
@@ -47,14 +50,16 @@ STATE = "best_bid double, best_ask double, updates bigint"
 def book_updates(events: DataFrame) -> DataFrame:
     """(instrument_id, best_bid, best_ask, updates) in update mode, by state kept per instrument.
 
-    Within a batch quotes are folded in the merge's order; batches are taken as they come, so
-    files must arrive in time order for the counts to be those of one merge. There is no late
+    Within a batch quotes are folded in the merge's order: by time and sequence, on a full tie the
+    later source (by name) first, rows of one source in the order in which they came. Batches are taken as they come, so
+    files must arrive in time order for the counts to be those of one merge. A batch's quotes of one
+    instrument are held at once; `files_per_trigger` bounds a batch. There is no late
     data to wait for: the input is finite and ordered by the feed's contract.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bid, ask, n = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(frames)).sort_values(["key_ts_ns", "sequence"], kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["key_ts_ns", "sequence", "source_name", "block"], ascending=[True, True, False, True], kind="stable")
         for s, p in zip(rows["side"], rows["price"], strict=True):
             if s == "B" and (bid == 0.0 or p > bid):
                 bid, n = p, n + 1
@@ -63,7 +68,7 @@ def book_updates(events: DataFrame) -> DataFrame:
         state.update((bid, ask, n))
         yield pd.DataFrame({"instrument_id": [key[0]], "best_bid": [bid], "best_ask": [ask], "updates": [n]})
 
-    quotes = book.quotes(quality.kept(events)).select("instrument_id", "key_ts_ns", "sequence", "side", "price")
+    quotes = book.quotes(quality.kept(events)).select("instrument_id", "key_ts_ns", "sequence", "source_name", "block", "side", "price")
     return quotes.groupBy("instrument_id").applyInPandasWithState(fold, "instrument_id bigint, best_bid double, best_ask double, updates bigint", STATE, "update", GroupStateTimeout.NoTimeout)
 
 

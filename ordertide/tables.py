@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, for whatever store it lies in."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -38,7 +39,7 @@ def _hadoop_path(spark: SparkSession, path: str):
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table or folder of the shared store; missing ones are fine."""
     with contextlib.suppress(Exception):  # at interpreter exit the gateway may be gone already
-        place, fs = _hadoop_path(spark, path)
+        place, fs = hadoop_path(spark, path)
         fs.delete(place, True)
 
 

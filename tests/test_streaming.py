@@ -35,3 +35,16 @@ def test_streams_give_the_batch_results(spark, tmp_path):
     q = stream.run(stream.summaries(live), f"{tmp_path}/sum", lambda df, _: totals.append(df.first()), "complete")
     assert q.awaitTermination(120)
     assert totals[-1] == quality.summary(batch).first()
+
+
+def test_ties_take_the_later_source_first(spark, tmp_path):
+    """Both files' quotes tie: the later file's bid comes first, so the earlier one's higher bid improves it."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for name, price in (("a", "2.0"), ("b", "1.0")):
+        event = {"ts_recv": "2026-04-01T07:00:00Z", "hd": {"instrument_id": 7}, "action": "A", "side": "B", "price": price, "size": 1, "order_id": "1", "flags": 0, "sequence": 5}
+        (src / f"{name}.mbo.json").write_text(json.dumps(event) + "\n")
+    seen = []
+    q = stream.run(stream.book_updates(stream.stream_events(spark, str(src))), f"{tmp_path}/c", lambda df, _: seen.extend(df.collect()))
+    assert q.awaitTermination(120)
+    assert [tuple(r) for r in seen] == [(7, 2.0, 0.0, 2)]
