@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.llm import bpe, mixing, ngram_join, quality, substring_dedup
-from ordertide.llm.store import materialise, table, write
+from ordertide.llm.store import discard, materialise, remove, table, write
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SHINGLE_WORDS, SIMILARITY = 5, (8, 10)
@@ -40,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         docs = materialise(first.unionByName(docs.where("doc_id IS NULL").withColumn(key, F.lit(None).cast("long"))), "rows")
     groups = materialise(ngram_join.join(docs, SHINGLE_WORDS, *SIMILARITY, id_col=key), "groups")
     dropped = materialise(groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped_id")).distinct(), "dropped")
+    discard(groups)
     few = dropped.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(dropped) if few else dropped, F.col(key) == F.col("_dropped_id"), "left_anti")
     return left.select(*columns)
@@ -77,9 +78,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents; what a stage has read goes when its own rows are written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        docs = spark.read.parquet(write(made, f"stage-{k}"))
+        before, path = path, write(stage(spark, docs, sf_dir), f"stage-{k}")
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
     return docs
