@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ordertide.functions import scalars as S
 from ordertide.tables import hadoop_path
 
-#: The wire schema; price and order_id are text on purpose.
+#: The fields of the wire schema that events have; price and order_id are text on
+#: purpose. Other fields are skipped, whatever they hold.
 WIRE = (
-    "ts_recv STRING, hd STRUCT<ts_event: STRING, rtype: INT, publisher_id: INT, instrument_id: BIGINT>, action STRING, side STRING, "
-    "price STRING, size BIGINT, channel_id INT, order_id STRING, flags BIGINT, ts_in_delta BIGINT, sequence BIGINT, symbol STRING, _corrupt STRING"
+    "ts_recv STRING, hd STRUCT<ts_event: STRING, instrument_id: BIGINT>, action STRING, side STRING, "
+    "price STRING, size BIGINT, order_id STRING, flags BIGINT, sequence BIGINT, _corrupt STRING"
 )
 FILE_PATTERN = "?*.mbo.json"
 OK, DROP, ERROR = "ok", "drop", "error"
