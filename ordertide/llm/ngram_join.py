@@ -23,6 +23,7 @@ prefixes of those that lie apart.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,8 @@ VERIFY_COST = 30
 RUN_SHINGLES = 1 << 20
 #: Common shingles that every task knows, at most (16 bytes each), and their least count.
 COMMON_MOST, COMMON_LEAST = 1 << 20, 16
-#: A node is dear if the lists of its prefix hold more than 1 / CHEAP_SHARE entries for each of its shingles.
+#: A node is dear if the lists of its prefix hold more than 1 / CHEAP_SHARE entries of fitting size for
+#: each of its shingles.
 CHEAP_SHARE = 2
 #: Nodes up to which their list is broadcast (16 bytes each); a shuffle join beyond.
 BROADCAST_NODES = 1_000_000
@@ -217,6 +219,14 @@ def _overlap(num: int, den: int, a: str, b: str) -> Column:
     return F.expr(f"({num} * ({a} + {b}) + {num + den - 1}) div {num + den}")
 
 
+def _band(num: int, den: int) -> Column:
+    """A number for sizes n so that sets of similar enough sizes differ by one at most. (The bands are
+    wider than need be by more than rounding could matter.)"""
+    if num == den:
+        return F.col("n").cast("long")
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("long")
+
+
 def _may_link(num: int, den: int) -> Column:
     """Whether sizes and bitmaps of a and b leave room for the similarity: both sets have at most
     (1 - t) / (1 + t) of their sizes' sum apart, and each odd difference of a class is one apart."""
@@ -352,10 +362,17 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialise(labelled, "labelled")
     discard(entries)
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("long")).where("lo < hi").select("shingle", "long")
+    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     mixed = materialise(mixed, "mixed")
-    across = materialise(labelled.join(mixed, "shingle"), "across")
+    shared = materialise(labelled.join(mixed, "shingle").withColumn("band", _band(num, den)), "shared")
     discard(labelled, mixed)
+    # of a list only entries of the own size band and its neighbours can be partners
+    in_band = shared.groupBy("shingle", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("long"))
+    near = in_band.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "lo", "hi", "long")
+    near = near.groupBy("shingle", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("long").alias("long")).where("lo < hi")
+    near = materialise(near.select("shingle", "band", "long"), "near")
+    across = materialise(shared.join(near, ["shingle", "band"]).drop("band"), "across")
+    discard(shared, near)
     dear = across.groupBy("node").agg(F.max("n").alias("n"), F.max("label").alias("label"), F.sum(F.col("long") - 1).alias("cost")).where(F.col("cost") * CHEAP_SHARE > F.col("n"))
     dear = materialise(dear.join(nodes.select("node", "doc", *maps), "node"), "dear")
     left = materialise(across.join(dear.select("node", F.lit(True).alias("dear")), "node", "left").withColumn("dear", F.coalesce("dear", F.lit(False))), "left")
