@@ -45,6 +45,8 @@ VERIFY_COST = 30
 RUN_SHINGLES = 1 << 20
 #: Common shingles that every task knows, at most (16 bytes each), and their least count.
 COMMON_MOST, COMMON_LEAST = 1 << 20, 16
+#: Entries of a shingle's list that one task counts: longer lists are dealt in shares by node.
+LIST_ENTRIES = 100_000
 #: A node is dear if the lists of its prefix hold more than 1 / CHEAP_SHARE entries of fitting size for
 #: each of its shingles.
 CHEAP_SHARE = 2
@@ -152,13 +154,14 @@ def _common(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(words: int, num: int, den: int, common, number: Numbers):
-    """Per node its rarest shingles in their order: of the longest prefix that a partner may call for."""
+    """Per node its rarest shingles in their order: of the longest prefix that a partner may call for.
+    share is 0, or from 1 for shingles so common that their list is dealt in shares."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = common.value
         seen: set[int] = set()
         for batch in shingles.small(batches, 0):
-            tokens_out, nodes_out, places_out, sizes_out = [], [], [], []
+            tokens_out, nodes_out, places_out, sizes_out, shares_out = [], [], [], [], []
             for tokens in shingles.sets(batch.column(0), words):
                 size = len(tokens)
                 if not size or (node := number(tokens)) in seen:
@@ -167,20 +170,25 @@ def _prefixes(words: int, num: int, den: int, common, number: Numbers):
                 need = -(-num * size // den)  # overlap with any partner, at least
                 first = size - need + 1
                 length = min(size, first + min(LEVELS, need) - 1)
+                share = np.zeros(length, np.int32)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     hot = known[at] == tokens
                     rare, often = tokens[~hot], tokens[hot]
                     if len(rare) < length:
-                        rare = np.concatenate([rare, often[np.lexsort((often, times[at[hot]]))]])
+                        by = np.lexsort((often, times[at[hot]]))[: length - len(rare)]
+                        shares = times[at[hot]][by] // LIST_ENTRIES + 1
+                        share[len(rare) :] = np.where(shares > 1, node % shares + 1, 0)
+                        rare = np.concatenate([rare, often[by]])
                     tokens = rare
                 tokens_out.append(tokens[:length])
                 nodes_out.append(np.full(length, node, np.int64))
                 places_out.append(np.arange(length, dtype=np.int32))
                 sizes_out.append(np.full(length, size, np.int32))
+                shares_out.append(share)
             if tokens_out:
-                columns = [pa.array(np.concatenate(x)) for x in (tokens_out, nodes_out, places_out, sizes_out)]
-                yield pa.RecordBatch.from_arrays([columns[0].view(pa.int64()), *columns[1:]], names=["shingle", "node", "place", "n"])
+                columns = [pa.array(np.concatenate(x)) for x in (tokens_out, nodes_out, places_out, sizes_out, shares_out)]
+                yield pa.RecordBatch.from_arrays([columns[0].view(pa.int64()), *columns[1:]], names=["shingle", "node", "place", "n", "share"])
 
     return apply
 
@@ -276,6 +284,18 @@ def _with_levels(entries: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(F.col("place") < F.col("n") - _need(num, den) + F.col("m"))
 
 
+def _listed(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`lists` with the times that each shingle occurs among nodes, where more than once; the table to
+    discard afterwards). Shares of a list are counted apart and summed. Lists in shares are of
+    shingles that every task knows, COMMON_MOST at most, so their sums can be broadcast."""
+    counted = lists.repartition("shingle", "share").dropDuplicates(["shingle", "share", "node"])
+    inside = F.count("*").over(Window.partitionBy("shingle", "share"))
+    written = materialise(counted.withColumn("times", inside).where("times > 1 OR share > 0"), "entries")
+    sums = written.where("share > 0").groupBy("shingle").agg(F.count("*").alias("_times"))
+    summed = written.join(F.broadcast(sums), "shingle", "left").withColumn("times", F.coalesce("_times", "times"))
+    return summed.where("times > 1").drop("_times", "share"), written
+
+
 def _candidates(left: DataFrame, right: DataFrame, ordered: Column, num: int, den: int) -> DataFrame:
     """(a, b): pairs across labels that share enough of their prefixes. `ordered` (on a and b) is to leave
     each pair in one order. Shingles count where they lie in the prefixes that these two sizes call for."""
@@ -345,9 +365,8 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     bridges = materialise(info.join(by_id, "id").where("n > 0 AND node != b").select(F.col("node").alias("a"), "b").distinct(), "bridges")
 
     common = spark.sparkContext.broadcast(_common(census))
-    lists = map_arrow(src.where("id IS NOT NULL").select("text"), _prefixes(words, num, den, common, number), "shingle long, node long, place int, n int")
-    counted = lists.repartition("shingle").dropDuplicates(["shingle", "node"])
-    listed = materialise(counted.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).where("times > 1"), "entries")
+    lists = map_arrow(src.where("id IS NOT NULL").select("text"), _prefixes(words, num, den, common, number), "shingle long, node long, place int, n int, share int")
+    listed, counted = _listed(lists)
     entries = materialise(_with_levels(listed, num, den).join(nodes.select("node", *maps), "node"), "prefixes")
 
     hubs = entries.groupBy("shingle").agg(F.max(F.struct("central", "node", "n", *maps)).alias("hub"))
@@ -357,7 +376,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     links = _verified(first.select(*pair).distinct(), src, nodes, words, num, den, number)
     links = links.unionByName(bridges)
     labels = materialise(components(links), "labels")
-    discard(listed, hubs)
+    discard(counted, hubs)
 
     labelled = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialise(labelled, "labelled")

@@ -85,6 +85,23 @@ def test_rows_of_one_id_are_one_document(spark):
     assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 3), (6, 3), (7, 3), (8, 8), (8, 8), (9, 3), (9, 3), (9, 3)]
 
 
+def test_long_lists_are_counted_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 2)
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    src = docs.select("text")
+    number, census = ngram_join.Numbers(), ngram_join.map_arrow(docs, ngram_join._census(3, 64), ngram_join._CENSUS)
+    common = spark.sparkContext.broadcast(ngram_join._common(census))
+    listed = []
+    for entries in (10**9, 5):
+        monkeypatch.setattr(ngram_join, "LIST_ENTRIES", entries)
+        lists = ngram_join.map_arrow(src, ngram_join._prefixes(3, 90, 100, common, number), "shingle long, node long, place int, n int, share int")
+        assert lists.agg({"share": "max"}).first()[0] == 0 if entries == 10**9 else lists.select("share").distinct().count() > 5
+        listed.append(sorted(tuple(r) for r in ngram_join._listed(lists)[0].select("shingle", "node", "place", "n", "times").collect()))
+    assert listed[0] == listed[1] and len(listed[0]) > 100
+    assert sorted((tuple(r) for r in ngram_join.join(docs, 3, 90, 100).collect()), key=str) == brute(rows, 3, 90, 100)
+
+
 @pytest.mark.parametrize("bits", [2, 64])
 def test_sets_that_share_a_hash_stay_apart(spark, bits):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
