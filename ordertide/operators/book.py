@@ -60,26 +60,40 @@ def updates(events: DataFrame, within: tuple[str, ...] = (), piece: int = PIECE)
     return run.groupBy("instrument_id").agg(F.coalesce(F.max("bid"), zero).alias("best_bid"), F.coalesce(F.min("ask"), zero).alias("best_ask"), n.alias("updates"))
 
 
-def exact_fold(events: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
-    """The same for prices of any sign, where 0 stands for an empty side: the next quote then takes
-    its place and counts, better or not. Each instrument is folded row after row, in constant
-    memory, over the sorted rows of its task; with prices above 0 updates() gives the same."""
+def takes_place(price: float | None, best: float | None, more: bool, zero_is_empty: bool) -> bool:
+    """Whether a quote takes the place of the best one so far (None: there is none). NaN is the largest
+    price, as for Spark's and DuckDB's aggregates; a quote without a price betters none."""
+    if best is None or (zero_is_empty and best == 0.0):
+        return True
+    if price is None:
+        return False
+    return price > best or (price != price and best == best) if more else price < best or (best != best and price == price)
+
+
+def exact_fold(events: DataFrame, within: tuple[str, ...] = (), zero_is_empty: bool = True) -> DataFrame:
+    """The same for prices of any sign. Each instrument is folded row after row, in constant memory,
+    over the sorted rows of its task.
+
+    By the feed's own rule (`zero_is_empty`) 0 stands for an empty side: the next quote then takes its
+    place and counts, better or not. Otherwise 0 is a price as any other, as for SQL's aggregates.
+    With prices above 0 both give what updates() gives.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bid, ask, n = None, 0.0, 0.0, 0
+        begun, now, bid, ask, n = False, None, None, None, 0
         for batch in batches:
             out: list[tuple] = []
             for instrument, side, price in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if instrument != now:
-                    if now is not None:
-                        out.append((now, bid, ask, n))
-                    now, bid, ask, n = instrument, 0.0, 0.0, 0
-                if side == "B" and (bid == 0.0 or price > bid):
+                if not begun or instrument != now:
+                    if begun:
+                        out.append((now, bid or 0.0, ask or 0.0, n))
+                    begun, now, bid, ask, n = True, instrument, None, None, 0
+                if side == "B" and takes_place(price, bid, True, zero_is_empty):
                     bid, n = price, n + 1
-                elif side == "A" and (ask == 0.0 or price < ask):
+                elif side == "A" and takes_place(price, ask, False, zero_is_empty):
                     ask, n = price, n + 1
             yield _rows(out)
-        yield _rows([(now, bid, ask, n)] if now is not None else [])
+        yield _rows([(now, bid or 0.0, ask or 0.0, n)] if begun else [])
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         kinds = (("instrument_id", pa.int64()), ("best_bid", pa.float64()), ("best_ask", pa.float64()), ("updates", pa.int64()))

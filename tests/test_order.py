@@ -119,6 +119,15 @@ def test_book_with_zero_and_negative_prices(spark, seed):
     assert sorted(map(tuple, book.exact_fold(book_frame(spark, rows)).collect())) == fold(rows)
 
 
+def test_fold_without_an_empty_price(spark):
+    """0 and NaN are prices, a quote without one counts on an empty side only, and no instrument is lost for its null id."""
+    nan = float("nan")
+    quoted = [(1, "A", 0.0), (1, "A", 5.0), (1, "B", -2.0), (1, "B", 0.0), (1, "B", -1.0), (2, "B", 3.0), (2, "B", nan), (2, "B", 9.0), (2, "A", nan), (2, "A", 4.0), (None, "B", 1.0), (None, "B", 2.0), (3, "B", None), (3, "B", 1.0), (3, "B", None)]
+    rows = [(i, k, 0, side, "A", price, True) for k, (i, side, price) in enumerate(quoted)]
+    got = book.exact_fold(book_frame(spark, rows), zero_is_empty=False).collect()
+    assert sorted(map(str, map(tuple, got))) == ["(1, 0.0, 0.0, 3)", "(2, nan, 4.0, 4)", "(3, 1.0, 0.0, 2)", "(None, 2.0, 0.0, 2)"]
+
+
 def test_ordered_hash(spark):
     events = mbo(spark, "/root/testdata/sf0.001")
     h, n = S.HASH_START, 0

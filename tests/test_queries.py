@@ -25,3 +25,19 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture(scope="module")
+def odd_prices(tmp_path_factory):
+    """Events with quotes of 0 and below: some sides' best is 0, and worse quotes come after it."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    prices = "[0.0, 2.5, -1.0, 1.0, 0.0, 3.0, -2.0]"
+    connect(SF).sql(f"""COPY (SELECT range AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * range AS ts, range // 3 % 5 AS user_id,
+      CASE range % 4 WHEN 0 THEN 'click' ELSE 'view' END AS event_type, CAST(CASE WHEN user_id = 4 THEN -1.0 - range % 7 ELSE ({prices})[1 + range * range // 11 % 7] END AS DOUBLE) AS value,
+      '{{"k": 1}}' AS props FROM range(300)) TO '{path}/events.parquet' (FORMAT parquet)""")
+    return path
+
+
+def test_exact_fold_takes_zero_as_a_price(spark, odd_prices):
+    df = base.queries()["lob_exact_fold"](spark, odd_prices)
+    same(df, connect(odd_prices), base.oracle_sql()["lob_exact_fold"])
