@@ -47,26 +47,27 @@ def best_quotes(events: DataFrame) -> DataFrame:
 STATE = "best_bid double, best_ask double, updates bigint"
 
 
-def book_updates(events: DataFrame) -> DataFrame:
+def book_updates(events: DataFrame, zero_is_empty: bool = True) -> DataFrame:
     """(instrument_id, best_bid, best_ask, updates) in update mode, by state kept per instrument.
 
     Within a batch quotes are folded in the merge's order: by time and sequence, on a full tie the
     later source (by name) first, rows of one source in the order in which they came. Batches are taken as they come, so
     files must arrive in time order for the counts to be those of one merge. A batch's quotes of one
     instrument are held at once; `files_per_trigger` bounds a batch. There is no late
-    data to wait for: the input is finite and ordered by the feed's contract.
+    data to wait for: the input is finite and ordered by the feed's contract. `zero_is_empty` is as for
+    book.exact_fold(): whether 0 stands for an empty side, or is a price as any other.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bid, ask, n = state.get if state.exists else (0.0, 0.0, 0)
+        bid, ask, n = state.get if state.exists else (None, None, 0)
         rows = pd.concat(list(frames)).sort_values(["key_ts_ns", "sequence", "source_name", "block"], ascending=[True, True, False, True], kind="stable")
         for s, p in zip(rows["side"], rows["price"], strict=True):
-            if s == "B" and (bid == 0.0 or p > bid):
+            if s == "B" and book.takes_place(p, bid, True, zero_is_empty):
                 bid, n = p, n + 1
-            elif s == "A" and (ask == 0.0 or p < ask):
+            elif s == "A" and book.takes_place(p, ask, False, zero_is_empty):
                 ask, n = p, n + 1
         state.update((bid, ask, n))
-        yield pd.DataFrame({"instrument_id": [key[0]], "best_bid": [bid], "best_ask": [ask], "updates": [n]})
+        yield pd.DataFrame({"instrument_id": [key[0]], "best_bid": [bid or 0.0], "best_ask": [ask or 0.0], "updates": [n]})
 
     quotes = book.quotes(quality.kept(events)).select("instrument_id", "key_ts_ns", "sequence", "source_name", "block", "side", "price")
     return quotes.groupBy("instrument_id").applyInPandasWithState(fold, "instrument_id bigint, best_bid double, best_ask double, updates bigint", STATE, "update", GroupStateTimeout.NoTimeout)

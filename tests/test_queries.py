@@ -41,3 +41,8 @@ def odd_prices(tmp_path_factory):
 def test_exact_fold_takes_zero_as_a_price(spark, odd_prices):
     df = base.queries()["lob_exact_fold"](spark, odd_prices)
     same(df, connect(odd_prices), base.oracle_sql()["lob_exact_fold"])
+
+
+def test_stream_book_takes_zero_as_a_price(spark, odd_prices):
+    df = base.queries()["stream_book"](spark, odd_prices)
+    same(df, connect(odd_prices), base.oracle_sql()["stream_book"])

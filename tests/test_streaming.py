@@ -1,4 +1,5 @@
 import json
+import os
 
 from ordertide.operators import book, quality
 from ordertide.sources import feed
@@ -48,3 +49,19 @@ def test_ties_take_the_later_source_first(spark, tmp_path):
     q = stream.run(stream.book_updates(stream.stream_events(spark, str(src))), f"{tmp_path}/c", lambda df, _: seen.extend(df.collect()))
     assert q.awaitTermination(120)
     assert [tuple(r) for r in seen] == [(7, 2.0, 0.0, 2)]
+
+
+def test_an_empty_side_stays_so_between_batches(spark, tmp_path):
+    """The state tells a best price of 0 from an empty side, from one file to the next."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, quoted in enumerate(([("B", "0.0")], [("B", "-1.0"), ("A", "0.0")], [("A", "3.0"), ("B", "-2.0")])):
+        lines = [{"ts_recv": f"2026-04-01T07:00:0{k}Z", "hd": {"instrument_id": 7}, "action": "A", "side": s, "price": p, "size": 1, "order_id": "1", "flags": 0, "sequence": i} for i, (s, p) in enumerate(quoted)]
+        (src / f"{k}.mbo.json").write_text("".join(json.dumps(e) + "\n" for e in lines))
+        os.utime(src / f"{k}.mbo.json", (1e9 + k, 1e9 + k))
+    for zero_is_empty, last in ((False, (7, 0.0, 0.0, 2)), (True, (7, -1.0, 3.0, 4))):
+        seen = []
+        books = stream.book_updates(stream.stream_events(spark, str(src), files_per_trigger=1), zero_is_empty)
+        q = stream.run(books, f"{tmp_path}/{zero_is_empty}", lambda df, _: seen.extend(df.collect()))
+        assert q.awaitTermination(120)
+        assert tuple(seen[-1]) == last
